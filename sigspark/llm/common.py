@@ -108,8 +108,25 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
         at = end
 
 
+def word_spans(x: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and text numbers of the runs of bytes other than 0; a text's edge parts them too."""
+    on = np.zeros(len(x) + 2, bool)
+    on[1:-1] = x > 0
+    first = on[1:] & ~on[:-1]
+    ends = on[:-1] & ~on[1:]
+    inner = offsets[(offsets > 0) & (offsets < len(x))]
+    joined = inner[on[inner] & on[inner + 1]]
+    first[joined] = True
+    ends[joined] = True
+    start = np.flatnonzero(first[: len(x)])
+    return start, np.flatnonzero(ends), np.searchsorted(offsets, start, "right") - 1
+
+
 class Packer:
-    """Collects numpy records and hands them on as (part, blob) rows, by a 64-bit key."""
+    """Collects numpy records and hands them on as (part, blob) rows, by a 64-bit key.
+
+    A blob holds its records field by field: what repeats from one record to the next compresses.
+    """
 
     def __init__(self, parts: int):
         self.parts, self.held, self.size = parts, [], 0
@@ -128,11 +145,11 @@ class Packer:
             self.held, self.size = [], 0
             order = np.argsort(part, kind="stable")
             part, records = part[order], records[order]
+            fields = [np.ascontiguousarray(records[f]) for f in records.dtype.names]
             cuts = np.flatnonzero(np.diff(part)) + 1
             starts, ends = np.r_[0, cuts], np.r_[cuts, len(part)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part[starts]), pa.array([records[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())], ["part", "blob"]
-            )
+            blobs = [b"".join([f[a:b].tobytes() for f in fields]) for a, b in zip(starts, ends)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[starts]), pa.array(blobs, pa.binary())], ["part", "blob"])
 
 
 def exchange(df: DataFrame) -> DataFrame:
@@ -142,8 +159,16 @@ def exchange(df: DataFrame) -> DataFrame:
 
 
 def unpack(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> np.ndarray:
-    found = [np.frombuffer(b.as_py(), dtype) for batch in batches for b in batch.column(0)]
-    return np.concatenate(found) if found else np.zeros(0, dtype)
+    blobs = [b.as_py() for batch in batches for b in batch.column(0)]
+    out, at = np.zeros(sum(map(len, blobs)) // dtype.itemsize, dtype), 0
+    for blob in blobs:
+        n, byte = len(blob) // dtype.itemsize, 0
+        for f in dtype.names:
+            kind = dtype[f]
+            out[f][at : at + n] = np.frombuffer(blob, kind.base, n * (kind.itemsize // kind.base.itemsize), byte).reshape(n, *kind.shape)
+            byte += n * kind.itemsize
+        at += n
+    return out
 
 
 def runs(*sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,15 +1,20 @@
 """Queries of the operators and their SQL twins, by name."""
 
-from sigspark.llm import chat_format, decontaminate, langid, sentencepieces, toxicity
+from sigspark.llm import chat_format, decontaminate, langid, repeats, sentencepieces, simhash, toxicity
 
 QUERIES = {
+    "op1_repeats": repeats.query,
     "op3_chat_format": chat_format.query,
     "op4_decontaminate": decontaminate.query,
+    "op6_simhash": simhash.query,
     "op8_language_id": langid.query,
     "op9_toxicity": toxicity.query,
     "op10_sentencepiece": sentencepieces.query,
 }
 ORACLE_SQL = {
+    "op1_repeats": repeats.SQL,
     "op3_chat_format": chat_format.SQL,
     "op4_decontaminate": decontaminate.SQL,
 }
+if simhash.SQL:
+    ORACLE_SQL["op6_simhash"] = simhash.SQL
