@@ -269,7 +269,7 @@ def _sql() -> str:
         one = " + ".join(f"(CASE WHEN 2 * sum((h{w} >> {j}) & 1) > count(*) THEN {1 << j}::UBIGINT ELSE 0::UBIGINT END)" for j in range(64))
         return f"{one} AS f{w}"
 
-    distance = " + ".join(f"bit_count(xor(a.f{w}, b.f{w}))" for w in range(WORDS))
+    distance = " + ".join(f"bit_count(xor(a.f{w}, b.f{w}))::INTEGER" for w in range(WORDS))
     shared = " OR ".join(f"(xor(a.f{w}, b.f{w}) & {m}::UBIGINT) = 0" for w, m in MASKS)
     return rf"""
 WITH RECURSIVE t AS (SELECT DISTINCT r, doc_id, unnest(regexp_extract_all(lower(text), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')) AS t
