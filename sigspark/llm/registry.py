@@ -1,9 +1,10 @@
 """Queries of the operators and their SQL twins, by name."""
 
-from sigspark.llm import chat_format, decontaminate, langid, repeats, sentencepieces, simhash, toxicity
+from sigspark.llm import chat_format, decontaminate, langid, lines, repeats, sentencepieces, simhash, toxicity
 
 QUERIES = {
     "op1_repeats": repeats.query,
+    "op2_lines": lines.query,
     "op3_chat_format": chat_format.query,
     "op4_decontaminate": decontaminate.query,
     "op6_simhash": simhash.query,
