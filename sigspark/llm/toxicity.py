@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm.common import Roller, table, text_slices
+from sigspark.llm.common import Roller, mix, runs, table, text_slices, word_spans
 
 BITS = 18
 DIM = 1 << BITS
@@ -38,18 +38,9 @@ def word_bags(data: np.ndarray, offsets: np.ndarray, roller: Roller) -> tuple[np
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     x = WORD[data]
-    on = np.zeros(len(x) + 2, bool)
-    on[1:-1] = x > 0
-    first = on[1:] & ~on[:-1]
-    ends = on[:-1] & ~on[1:]
-    inner = offsets[(offsets > 0) & (offsets < len(x))]  # a text's edge parts words too
-    joined = inner[on[inner] & on[inner + 1]]
-    first[joined] = True
-    ends[joined] = True
-    start, end = np.flatnonzero(first[: len(x)]), np.flatnonzero(ends)
+    start, end, text = word_spans(x, offsets)
     roller.load(x.astype(np.uint64) + np.uint64(1))
     bucket = (roller.of(start, end) >> np.uint64(64 - BITS)).astype(np.int64)
-    text = np.searchsorted(offsets, start, "right") - 1
     found = np.unique(text * DIM + bucket)
     return found >> BITS, found & (DIM - 1)
 
@@ -78,10 +69,31 @@ def lift(positive: np.ndarray, text: np.ndarray, bucket: np.ndarray) -> np.ndarr
     return (a / (n + 1) - b / (m + 1)) / np.sqrt(p * (1 - p) * (1 / n + 1 / m))
 
 
+def first_of_copies(text: np.ndarray, bucket: np.ndarray, n: int, share: float = 0.05, bands: int = 4, rows: int = 4) -> np.ndarray:
+    """Whether each of n texts is no near-copy of an earlier one, as MinHash bands over words of few texts tell."""
+    keep, df = np.ones(n, bool), np.bincount(bucket, minlength=DIM)
+    rare = df[bucket] <= max(2, share * n)
+    text, bucket = text[rare], bucket[rare]
+    starts, ends = runs(text)
+    if not len(starts):
+        return keep
+    for b in range(bands):
+        key = np.zeros(len(starts), np.uint64)
+        for r in range(rows):
+            h = mix(bucket.astype(np.uint64) + np.uint64((b * rows + r + 1) << 32))
+            key = mix(key * np.uint64(31) + np.minimum.reduceat(h, starts))
+        _, first = np.unique(key, return_index=True)
+        copy = np.ones(len(starts), bool)
+        copy[first] = False
+        keep[text[starts[copy]]] = False
+    return keep
+
+
 def fit(texts: pa.Array, positive: np.ndarray, prior: float, least_z: float = 5.0, epochs: int = 300, rate: float = 0.05, decay: float = 1e-5, beta: float = 0.0) -> Model:
     """positive: True for confirmed toxic rows; the others count as unlabelled.
 
-    Words whose lift() is within `least_z` of 0 get no weight.
+    Words whose lift() is within `least_z` of 0 get no weight. Of near-copies on the same side one
+    counts, so that what a much-copied document happens to say isn't taken for a sign.
     """
     roller, parts, n = Roller(0x9E3779B97F4A7C15), [], 0
     for at, data, offsets in text_slices(texts):
@@ -89,10 +101,18 @@ def fit(texts: pa.Array, positive: np.ndarray, prior: float, least_z: float = 5.
         parts.append((t + at, b))
         n = at + len(offsets) - 1
     w, bias = np.zeros(DIM), 0.0
+    if parts:
+        text, bucket = (np.concatenate(x) for x in zip(*parts))
+        keep = np.ones(n, bool)
+        for side in (positive, ~positive):
+            mine = side[text]
+            keep &= first_of_copies(text[mine], bucket[mine], n)
+        stays = keep[text]
+        text, bucket = (np.cumsum(keep) - 1)[text[stays]], bucket[stays]
+        positive, n = positive[keep], int(keep.sum())
     npos, nunl = int(positive.sum()), int((~positive).sum())
     if not npos or not nunl:
         return Model(w, -1.0)  # calls nothing toxic
-    text, bucket = (np.concatenate(x) for x in zip(*parts))
     used = (np.abs(lift(positive, text, bucket)) > least_z)[bucket]
     names, bucket = np.unique(bucket[used], return_inverse=True)
     text, k = text[used], len(names)
