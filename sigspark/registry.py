@@ -1,4 +1,428 @@
 """Queries of the engine and their SQL twins, by name."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sigspark.functions import sizing
+from sigspark.functions.hashing import term_row
+from sigspark.functions.terms import base_name, canonical_windows, windows
+from sigspark.model import ClassicParams, CompactParams
+from sigspark.operators import build, listing, search, workload
+from sigspark.sources import files
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+K = 31
+MD5 = {"canonicalize": False, "family": "md5_60"}
+
+
+def registered(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """Few files hold all of a small table: its rows go to all cores before they become terms."""
+    spark = df.sparkSession
+    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _corpus(spark: SparkSession, sf: str) -> DataFrame:
+    return files.from_table(_spread(_table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text")
+
+
+def _urls(spark: SparkSession, sf: str) -> DataFrame:
+    return files.from_table(_table(spark, sf, "pages"), "page_id", "url")
+
+
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def _ids(spark: SparkSession, sf: str) -> DataFrame:
+    return _corpus(spark, sf).select(F.col("name").cast("bigint").alias("doc_id"), "name", "seq")
+
+
+def _results(found: DataFrame) -> DataFrame:
+    return found.select("query_id", "index_no", F.col("doc_name"), "score", "rank")
+
+
+# ---- listing
+
+_DOCS = f"d AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS name, lpad(CAST(doc_id AS VARCHAR), 20, '0') AS path, octet_length(encode(coalesce(text, ''))) AS size, greatest(octet_length(encode(coalesce(text, ''))) - {K - 1}, 0) AS num_terms FROM documents)"
+
+
+@registered(f"WITH {_DOCS} SELECT row_number() OVER (ORDER BY path) - 1 AS doc_no, name, size, num_terms FROM d")
+def doc_list(spark: SparkSession, sf: str) -> DataFrame:
+    return listing.listed(_corpus(spark, sf), K).select(F.col("doc_id").alias("doc_no"), "name", "size", "num_terms")
+
+
+@registered(f"WITH {_DOCS} SELECT count(*) AS count, min(num_terms) AS min, max(num_terms) AS max, CAST(floor(avg(num_terms)) AS BIGINT) AS avg, CAST(sum(num_terms) AS BIGINT) AS total FROM d")
+def doc_list_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return listing.summary(files.documents(_corpus(spark, sf), K))
+
+
+@registered(f"WITH {_DOCS} SELECT row_number() OVER (ORDER BY size, path) - 1 AS doc_no, name, size FROM d")
+def doc_sort_by_size(spark: SparkSession, sf: str) -> DataFrame:
+    return listing.listed(_corpus(spark, sf), K, "size").select(F.col("doc_id").alias("doc_no"), "name", "size")
+
+
+@registered(
+    f"WITH {_DOCS}, n AS (SELECT *, row_number() OVER (ORDER BY path) - 1 AS doc_no FROM d), b AS (SELECT *, doc_no // 64 AS batch FROM n) "
+    "SELECT doc_no, name, batch, lpad(CAST(batch AS VARCHAR), 6, '0') || '_[' || first_value(name) OVER w || '-' || last_value(name) OVER w || ']' AS batch_name "
+    "FROM b WINDOW w AS (PARTITION BY batch ORDER BY doc_no ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+)
+def doc_batches(spark: SparkSession, sf: str) -> DataFrame:
+    return listing.batches(listing.listed(_corpus(spark, sf), K), 64).select(F.col("doc_id").alias("doc_no"), "name", "batch", "batch_name")
+
+
+# ---- names and types
+
+_ENDS = [".txt", ".ctx", ".cortex", ".km_doc", ".fa", ".fasta.gz", ".fna", ".fq", ".fastq.gz", ".mfasta", ".mfastq", ".list", ".csv", ".v2.fasta"]
+_PATH = "'/data/d' || (p_partkey % 7) || '/s' || p_partkey || [" + ", ".join(f"'{e}'" for e in _ENDS) + f"][p_partkey % {len(_ENDS)} + 1]"
+
+
+def _paths(spark: SparkSession, sf: str) -> DataFrame:
+    end = F.get(F.array(*map(F.lit, _ENDS)), (F.col("p_partkey") % len(_ENDS)).cast("int"))
+    return _table(spark, sf, "part").select("p_partkey", F.concat(F.lit("/data/d"), (F.col("p_partkey") % 7).cast("string"), F.lit("/s"), F.col("p_partkey").cast("string"), end).alias("path"))
+
+
+@registered(
+    f"WITH p AS (SELECT p_partkey, {_PATH} AS path FROM part), t AS (SELECT p_partkey, path, CASE WHEN path LIKE '%.txt' THEN 'text' WHEN path LIKE '%.ctx' OR path LIKE '%.cortex' THEN 'cortex' "
+    "WHEN regexp_matches(path, '\\.[a-z]+_doc$') THEN 'kmers' WHEN path LIKE '%.mfasta' THEN 'mfasta' WHEN path LIKE '%.mfastq' THEN 'mfastq' WHEN regexp_matches(path, '\\.(fa|fasta|fna|ffn|faa|frn)(\\.gz)?$') THEN 'fasta' "
+    "WHEN regexp_matches(path, '\\.(fq|fastq)(\\.gz)?$') THEN 'fastq' WHEN path LIKE '%.list' THEN 'list' ELSE 'any' END AS file_type FROM p) "
+    "SELECT p_partkey, path, file_type, file_type NOT IN ('list', 'any') AS accepted FROM t"
+)
+def type_sniff(spark: SparkSession, sf: str) -> DataFrame:
+    typed = _paths(spark, sf).withColumn("file_type", files.sniff(F.col("path")))
+    return typed.withColumn("accepted", files.accepted(F.col("file_type")))
+
+
+@registered(f"WITH p AS (SELECT p_partkey, {_PATH} AS path FROM part) SELECT p_partkey, regexp_extract(path, '([^/.]*)[^/]*$', 1) AS name FROM p")
+def base_names(spark: SparkSession, sf: str) -> DataFrame:
+    return _paths(spark, sf).select("p_partkey", base_name(F.col("path")).alias("name"))
+
+
+_LINE = "CASE turn % 5 WHEN 0 THEN '' WHEN 1 THEN '# ' || role WHEN 2 THEN '/abs/' || conv_id ELSE 'rel/' || conv_id || '.txt' END"
+
+
+@registered(f"WITH l AS (SELECT {_LINE} AS v FROM conversations) SELECT CASE WHEN v LIKE '/%' THEN v ELSE '/lists/' || v END AS path FROM l WHERE trim(v) <> '' AND v NOT LIKE '#%'")
+def list_file(spark: SparkSession, sf: str) -> DataFrame:
+    return files.list_paths(_table(spark, sf, "conversations").select(F.expr(_LINE).alias("value")), "/lists")
+
+
+# ---- terms
+
+_TERMS = f"""s AS (SELECT doc_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, substr(h, 2 * i - 1, {2 * K}) AS term FROM (SELECT doc_id, h, unnest(range(1, n - {K - 1} + 1)) AS i FROM s WHERE n >= {K})),
+qs AS (SELECT item_id AS query_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM benchmark),
+q AS (SELECT query_id, i - 1 AS pos, substr(h, 2 * i - 1, {2 * K}) AS term FROM (SELECT query_id, h, unnest(range(1, n - {K - 1} + 1)) AS i FROM qs WHERE n >= {K}))"""
+
+
+@registered("SELECT p_partkey, i - 1 AS pos, substr(p_name, i, 5) AS term FROM (SELECT p_partkey, p_name, unnest(range(1, length(p_name) - 3)) AS i FROM part WHERE length(p_name) >= 5)")
+def qgram_dump(spark: SparkSession, sf: str) -> DataFrame:
+    seqs = _table(spark, sf, "part").select("p_partkey", F.col("p_name").cast("binary").alias("seq"))
+    return windows(seqs, 5).withColumn("term", F.col("term").cast("string"))
+
+
+@registered(f"WITH {_TERMS} SELECT doc_id, count(*) AS terms, count(DISTINCT term) AS distinct_terms FROM t GROUP BY doc_id")
+def qgram_distinct_counts(spark: SparkSession, sf: str) -> DataFrame:
+    found = windows(_ids(spark, sf).select("doc_id", "seq"), K)
+    return found.groupBy("doc_id").agg(F.count("*").alias("terms"), F.count_distinct("term").alias("distinct_terms"))
+
+
+@registered(f"WITH {_TERMS}, f AS (SELECT term, count(DISTINCT doc_id) AS docs FROM t GROUP BY term) SELECT docs, count(*) AS terms FROM f GROUP BY docs")
+def qgram_doc_freq(spark: SparkSession, sf: str) -> DataFrame:
+    found = windows(_ids(spark, sf).select("doc_id", "seq"), K).select("doc_id", "term").distinct()
+    return found.groupBy("term").agg(F.count("*").alias("docs")).groupBy("docs").agg(F.count("*").alias("terms"))
+
+
+_FROM = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ ,."
+_TO = ("ACGT" * len(_FROM))[: len(_FROM)]
+
+
+def _dna(text: Column) -> Column:
+    return F.regexp_replace(F.translate(text, _FROM, _TO), "[^ACGT]", "X")
+
+
+_DNA = f"""n AS (SELECT doc_id, regexp_replace(translate(text, '{_FROM}', '{_TO}'), '[^ACGT]', '!', 'g') AS f FROM documents WHERE text IS NOT NULL),
+b AS (SELECT doc_id, f, reverse(translate(f, 'ACGT', 'TGCA')) AS r, length(f) AS n FROM n),
+w AS (SELECT doc_id, substr(f, i, {K}) AS f, substr(r, n - {K} - i + 2, {K}) AS r FROM (SELECT doc_id, f, r, n, unnest(range(1, n - {K - 1} + 1)) AS i FROM b WHERE n >= {K})),
+c AS (SELECT doc_id, substr(r, 1, {K // 2}) < substr(f, 1, {K // 2}) AS flipped, CASE WHEN substr(r, 1, {K // 2}) < substr(f, 1, {K // 2}) THEN r ELSE f END AS term FROM w)"""
+
+
+@registered(f"WITH {_DNA} SELECT doc_id, count(*) AS terms, count(*) FILTER (flipped) AS flipped, count(*) FILTER (NOT contains(term, '!')) AS valid, count(DISTINCT term) AS distinct_terms FROM c GROUP BY doc_id")
+def canonical_kmers(spark: SparkSession, sf: str) -> DataFrame:
+    seqs = _spread(_table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", _dna(F.col("text")).cast("binary").alias("seq"))
+    return canonical_windows(seqs, K).groupBy("doc_id").agg(F.count("*").alias("terms"), F.count_if("flipped").alias("flipped"), F.count_if("valid").alias("valid"), F.count_distinct("term").alias("distinct_terms"))
+
+
+@registered("SELECT octet_length(encode(text)) AS length, count(*) AS n FROM conversations WHERE text IS NOT NULL GROUP BY 1")
+def length_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return listing.length_histogram(_table(spark, sf, "conversations").select(F.col("text").cast("binary").alias("seq")))
+
+
+# ---- sizes
+
+
+@registered("SELECT r_regionkey, round(-(r_regionkey + 1) / ln(1 - pow(0.3::DOUBLE, 1.0::DOUBLE / (r_regionkey + 1))), 9) AS low, round(-(r_regionkey + 1) / ln(1 - pow(0.1::DOUBLE, 1.0::DOUBLE / (r_regionkey + 1))), 9) AS high FROM region")
+def signature_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    h = F.col("r_regionkey") + 1
+    return _table(spark, sf, "region").select("r_regionkey", *(F.round(sizing.size_ratio_col(h, F.lit(rate)), 9).alias(name) for name, rate in (("low", 0.3), ("high", 0.1))))
+
+
+@registered(f"WITH {_DOCS} SELECT name, " + ", ".join(f"CAST(ceil(num_terms * (-{h} / ln(1 - pow(0.3::DOUBLE, 1.0::DOUBLE / {h})))) AS BIGINT) AS h{h}" for h in (1, 2, 3)) + " FROM d")
+def signature_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return files.documents(_corpus(spark, sf), K).select("name", *(sizing.signature_size_col(F.col("num_terms"), h, 0.3).alias(f"h{h}") for h in (1, 2, 3)))
+
+
+_R1 = "(-1 / ln(1 - 0.3::DOUBLE))"
+_CLASSIC = f"{_DOCS}, z AS (SELECT greatest(1, CAST(ceil(max_by(num_terms, (size, path)) * {_R1}) AS BIGINT)) AS m FROM d)"
+
+
+@registered(f"WITH {_CLASSIC} SELECT m AS signature_size FROM z")
+def classic_signature_size(spark: SparkSession, sf: str) -> DataFrame:
+    size = build.classic_size(files.documents(_corpus(spark, sf), K), ClassicParams())
+    return spark.createDataFrame([(size,)], "signature_size bigint")
+
+
+_PAGE = 8 * 2
+_PAGED = f"""{_DOCS}, g AS (SELECT *, (row_number() OVER (ORDER BY size, path) - 1) // {_PAGE} AS page_id FROM d),
+l AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY path) - 1 AS slot FROM g),
+z AS (SELECT page_id, greatest(1, CAST(ceil(max(num_terms) * {_R1}) AS BIGINT)) AS m FROM l GROUP BY page_id)"""
+
+
+@registered(f"WITH {_PAGED} SELECT name, CAST(page_id AS INTEGER) AS page_id, slot FROM l")
+def compact_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return build.paged(files.documents(_corpus(spark, sf), K), _PAGE).select("name", "page_id", "slot")
+
+
+@registered(f"WITH {_PAGED} SELECT CAST(page_id AS INTEGER) AS page_id, m AS signature_size FROM z")
+def page_signature_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return build.page_sizes(build.paged(files.documents(_corpus(spark, sf), K), _PAGE), CompactParams())
+
+
+# ---- index contents
+
+
+def _md5(term: str, j: str, m: str) -> str:
+    return f"(('0x' || substr(md5('{j}:'::BLOB || unhex({term})), 1, 15))::BIGINT % {m})"
+
+
+@registered(f"SELECT p_partkey, j, ('0x' || substr(md5(j || ':' || p_name), 1, 15))::BIGINT % 1000003 AS row_idx FROM part, (SELECT unnest([0, 1, 2]) AS j)")
+def term_hash_rows(spark: SparkSession, sf: str) -> DataFrame:
+    rows = F.array(*[term_row(F.col("p_name").cast("binary"), j, F.lit(1000003), "md5_60") for j in range(3)])
+    return _table(spark, sf, "part").select("p_partkey", F.posexplode(rows).alias("j", "row_idx"))
+
+
+@registered(
+    "WITH u AS (SELECT row_number() OVER (ORDER BY lpad(CAST(page_id AS VARCHAR), 20, '0')) - 1 AS slot, url FROM pages), "
+    "t AS (SELECT slot, substr(url, i, 11) AS term FROM (SELECT slot, url, unnest(range(1, length(url) - 9)) AS i FROM u WHERE length(url) >= 11)), "
+    "p AS (SELECT DISTINCT ('0x' || substr(md5('0:' || term), 1, 15))::BIGINT % 4096 AS row_idx, slot FROM t) "
+    "SELECT row_idx, CAST(slot // 64 AS INTEGER) AS word_idx, bit_or(CASE WHEN slot % 64 = 63 THEN -9223372036854775808 ELSE 1::BIGINT << (slot % 64) END) AS bits FROM p GROUP BY 1, 2"
+)
+def classic_bits(spark: SparkSession, sf: str) -> DataFrame:
+    return build.build_classic(_urls(spark, sf), ClassicParams(term_size=11, signature_size=4096, **MD5)).bits.select("row_idx", "word_idx", "bits")
+
+
+@registered(f"WITH {_TERMS}, {_CLASSIC}, p AS (SELECT DISTINCT doc_id, {_md5('term', '0', 'm')} AS row_idx FROM t, z) SELECT row_idx, count(*) AS ones FROM p GROUP BY row_idx")
+def row_popcount(spark: SparkSession, sf: str) -> DataFrame:
+    bits = build.build_classic(_corpus(spark, sf), ClassicParams(**MD5)).bits
+    return bits.groupBy("row_idx").agg(F.sum(F.bit_count("bits")).cast("bigint").alias("ones"))
+
+
+@registered(
+    f"WITH {_TERMS}, {_PAGED}, p AS (SELECT DISTINCT l.page_id, l.slot, {_md5('term', '0', 'm')} AS row_idx FROM t JOIN l USING (doc_id) JOIN z ON z.page_id = l.page_id), "
+    "o AS (SELECT page_id, count(*) AS ones FROM p GROUP BY page_id), n AS (SELECT page_id, count(*) AS n FROM l GROUP BY page_id) "
+    "SELECT CAST(z.page_id AS INTEGER) AS page_id, coalesce(ones, 0) AS ones, round(coalesce(ones, 0)::DOUBLE / (m * n), 9) AS ratio FROM z JOIN n USING (page_id) LEFT JOIN o USING (page_id)"
+)
+def ones_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    return build.ones(build.build_compact(_corpus(spark, sf), CompactParams(page_size=2, **MD5))).withColumn("ratio", F.round("ratio", 9))
+
+
+# ---- search
+
+
+def _ranked(scored: str, threshold: float, limit: int = 0, every: bool = False) -> str:
+    """SQL over c(query_id, index_no, doc_id, doc_name, score): threshold, rank, limit."""
+    need = f"need AS (SELECT query_id, CAST(ceil({threshold}::DOUBLE * greatest(n - {K - 1}, 0)) AS BIGINT) AS need FROM qs)"
+    out = f"{need}, {scored}, k AS (SELECT c.* FROM c JOIN need USING (query_id) WHERE score >= need), o AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, index_no, doc_id) AS INTEGER) AS rank FROM k) SELECT query_id, index_no, doc_name, score, rank FROM o"
+    return out + (f" WHERE rank <= {limit}" if limit else "")
+
+
+_EXACT = "x AS (SELECT DISTINCT doc_id, term FROM t SEMI JOIN q USING (term)), c AS (SELECT query_id, 0 AS index_no, doc_id, CAST(doc_id AS VARCHAR) AS doc_name, count(*) AS score FROM q JOIN x USING (term) GROUP BY query_id, doc_id)"
+_EVERY = _EXACT.replace("c AS", "e AS") + ", c AS (SELECT qs.query_id, 0 AS index_no, documents.doc_id, CAST(documents.doc_id AS VARCHAR) AS doc_name, coalesce(score, 0) AS score FROM qs CROSS JOIN documents LEFT JOIN e ON e.query_id = qs.query_id AND e.doc_id = documents.doc_id)"
+
+
+@registered(f"WITH {_TERMS}, {_EXACT} SELECT query_id, doc_id, score FROM c")
+def search_exact(spark: SparkSession, sf: str) -> DataFrame:
+    return search.exact_scores(_asked(spark, sf), _ids(spark, sf), K)
+
+
+@registered(f"WITH {_TERMS}, {_ranked(_EXACT, 0.8)}")
+def search_exact_threshold(spark: SparkSession, sf: str) -> DataFrame:
+    return _results(search.exact_search(_asked(spark, sf), _ids(spark, sf), K, threshold=0.8))
+
+
+@registered(f"WITH {_TERMS}, {_ranked(_EVERY, 0.0, 3)}")
+def search_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return _results(search.exact_search(_asked(spark, sf), _ids(spark, sf), K, limit=3))
+
+
+@registered(f"WITH {_TERMS}, {_ranked(_EVERY, 0.0)}")
+def search_zero_threshold(spark: SparkSession, sf: str) -> DataFrame:
+    return _results(search.exact_search(_asked(spark, sf), _ids(spark, sf), K))
+
+
+def _index(h: int, ratio: str) -> str:
+    """SQL for a classic index of the documents: c as in _ranked()."""
+    p = " UNION ALL ".join(f"SELECT DISTINCT doc_id, {j} AS j, {_md5('term', str(j), 'm')} AS row_idx FROM t, z" for j in range(h))
+    r = " UNION ALL ".join(f"SELECT query_id, pos, {j} AS j, {_md5('term', str(j), 'm')} AS row_idx FROM q, z" for j in range(h))
+    return (
+        f"{_CLASSIC.replace(_R1, ratio)}, p AS ({p}), pr AS (SELECT DISTINCT doc_id, row_idx FROM p), r AS ({r}), "
+        f"hit AS (SELECT query_id, pos, doc_id FROM r JOIN pr USING (row_idx) GROUP BY query_id, pos, doc_id HAVING count(DISTINCT j) = {h}), "
+        "c AS (SELECT query_id, 0 AS index_no, doc_id, CAST(doc_id AS VARCHAR) AS doc_name, count(*) AS score FROM hit GROUP BY query_id, doc_id)"
+    )
+
+
+_R3 = "(-3 / ln(1 - pow(0.1::DOUBLE, 1.0::DOUBLE / 3)))"
+_COMPACT = f"""{_PAGED}, p AS (SELECT DISTINCT l.doc_id, l.page_id, l.slot, {_md5('term', '0', 'm')} AS row_idx FROM t JOIN l USING (doc_id) JOIN z ON z.page_id = l.page_id),
+r AS (SELECT query_id, pos, page_id, {_md5('term', '0', 'm')} AS row_idx FROM q, z),
+c AS (SELECT query_id, 0 AS index_no, page_id * {_PAGE} + slot AS doc_id, CAST(p.doc_id AS VARCHAR) AS doc_name, count(*) AS score FROM r JOIN p USING (page_id, row_idx) GROUP BY query_id, page_id, slot, p.doc_id)"""
+
+
+def _classic(spark: SparkSession, sf: str, **more) -> build.Tables:
+    return build.build_classic(_corpus(spark, sf), ClassicParams(**MD5, **more))
+
+
+@registered(f"WITH {_TERMS}, {_ranked(_index(1, _R1), 0.8)}")
+def search_classic(spark: SparkSession, sf: str) -> DataFrame:
+    return _results(search.search(_asked(spark, sf), [_classic(spark, sf)], 0.8))
+
+
+@registered(f"WITH {_TERMS}, {_ranked(_index(3, _R3), 0.5)}")
+def search_multihash(spark: SparkSession, sf: str) -> DataFrame:
+    return _results(search.search(_asked(spark, sf), [_classic(spark, sf, num_hashes=3, false_positive_rate=0.1)], 0.5))
+
+
+@registered(f"WITH {_TERMS}, {_ranked(_COMPACT, 0.8)}")
+def search_compact(spark: SparkSession, sf: str) -> DataFrame:
+    tables = build.build_compact(_corpus(spark, sf), CompactParams(page_size=2, **MD5))
+    return _results(search.search(_asked(spark, sf), [tables], 0.8))
+
+
+@registered(f"WITH {_TERMS}, {_ranked(_index(1, _R1), 0.3, 5)}")
+def search_limit(spark: SparkSession, sf: str) -> DataFrame:
+    return _results(search.search(_asked(spark, sf), [_classic(spark, sf)], 0.3, 5))
+
+
+_TWICE = _index(1, _R1).replace("c AS (SELECT query_id, 0 AS index_no", "c0 AS (SELECT query_id, 0 AS index_no") + ", c AS (SELECT * FROM c0 UNION ALL SELECT query_id, 1 AS index_no, doc_id, doc_name, score FROM c0)"
+
+
+@registered(f"WITH {_TERMS}, {_ranked(_TWICE, 0.8)}")
+def search_multi_index(spark: SparkSession, sf: str) -> DataFrame:
+    tables = _classic(spark, sf)
+    return _results(search.search(_asked(spark, sf), [tables, tables], 0.8))
+
+
+def _halves(spark: SparkSession, sf: str, size: int) -> list[build.Tables]:
+    every = _corpus(spark, sf).withColumn("odd", F.col("name").cast("bigint") % 2)
+    return [build.build_classic(every.where(F.col("odd") == i).drop("odd"), ClassicParams(signature_size=size, **MD5)) for i in (0, 1)]
+
+
+def _fixed(size: int) -> str:
+    return _index(1, _R1).replace(f"{_CLASSIC}", f"{_DOCS}, z AS (SELECT {size} AS m)")
+
+
+@registered(f"WITH {_TERMS}, {_ranked(_fixed(60000).replace('SELECT query_id, 0 AS index_no, doc_id, CAST', 'SELECT query_id, 0 AS index_no, (doc_id % 2) * 1000000000000 + doc_id AS doc_id, CAST'), 0.8)}")
+def combine_classic(spark: SparkSession, sf: str) -> DataFrame:
+    return _results(search.search(_asked(spark, sf), [build.combine_classic(_halves(spark, sf, 60000))], 0.8))
+
+
+@registered(f"WITH {_TERMS}, {_ranked(_fixed(60000).replace('SELECT query_id, 0 AS index_no, doc_id, CAST', 'SELECT query_id, 0 AS index_no, (doc_id % 2) * 1000000000000 + doc_id AS doc_id, CAST'), 0.8)}")
+def combine_compact(spark: SparkSession, sf: str) -> DataFrame:
+    halves = _halves(spark, sf, 60000)
+    width = halves[0].meta.num_docs
+    padded = [build.Tables(h.meta.__class__(**{**h.meta.row(), "num_docs": -(-width // 8) * 8 if i == 0 else h.meta.num_docs}), h.pages, h.docs, h.bits) for i, h in enumerate(halves)]
+    return _results(search.search(_asked(spark, sf), [build.combine_compact(padded, -(-width // 8))], 0.8))
+
+
+@registered("SELECT 0::BIGINT AS violations")
+def no_false_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs whose exact score is above the index's, over one and three hashes and both layouts."""
+    asked, ids = _asked(spark, sf), _ids(spark, sf)
+    exact = search.exact_search(asked, ids, K, threshold=1e-9).select("query_id", "doc_name", F.col("score").alias("least"))
+    bad = None
+    for tables in (_classic(spark, sf), _classic(spark, sf, num_hashes=3), build.build_compact(_corpus(spark, sf), CompactParams(canonicalize=False, page_size=2, num_hashes=2))):
+        found = search.search(asked, [tables], 1e-9, on_short="skip").select("query_id", "doc_name", "score")
+        missed = exact.join(found, ["query_id", "doc_name"], "left").where(F.coalesce("score", F.lit(0)) < F.col("least"))
+        bad = missed if bad is None else bad.unionByName(missed)
+    return bad.agg(F.count("*").alias("violations"))
+
+
+@registered(f"WITH {_TERMS}, {_index(1, _R1)}, h AS (SELECT score, count(*) AS pairs FROM c GROUP BY score UNION ALL SELECT 0, (SELECT count(*) FROM qs) * (SELECT count(*) FROM documents) - (SELECT count(*) FROM c)) SELECT score, CAST(sum(pairs) AS BIGINT) AS pairs FROM h GROUP BY score HAVING sum(pairs) > 0")
+def fpr_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    tables, asked = _classic(spark, sf), _asked(spark, sf)
+    found = search.scores(search.query_terms(asked, K, False), tables)
+    return workload.score_histogram(found, asked.count(), tables.meta.num_docs)
+
+
+# ---- workloads
+
+_TURNS = f"ts AS (SELECT conv_id, turn, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM conversations WHERE text IS NOT NULL), tt AS (SELECT conv_id, turn, substr(h, 2 * i - 1, {2 * K}) AS term FROM (SELECT conv_id, turn, h, unnest(range(1, n - {K - 1} + 1)) AS i FROM ts WHERE n >= {K}))"
+
+
+@registered(f"WITH {_TERMS}, {_TURNS}, bad AS (SELECT DISTINCT conv_id * 1000 + turn AS query_id FROM tt SEMI JOIN t USING (term)) SELECT DISTINCT conv_id * 1000 + turn AS query_id FROM conversations ANTI JOIN bad ON bad.query_id = conversations.conv_id * 1000 + conversations.turn")
+def true_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    asked = _table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
+    return workload.true_negatives(asked, _ids(spark, sf), K).select("query_id").distinct()
+
+
+@registered()
+def generated_queries(spark: SparkSession, sf: str) -> DataFrame:
+    return workload.generate_queries(_corpus(spark, sf), 200, 200, K, 50, only_true=True, seed=7)
+
+
+@registered()
+def random_index(spark: SparkSession, sf: str) -> DataFrame:
+    return build.ones(workload.random_index(spark, 100, 2000, 6000, ClassicParams(num_hashes=2), seed=1))
+
+
+# ---- parsers, on files made of columns
+
+
+def _made(spark: SparkSession, sf: str, kind: str, content: Column) -> DataFrame:
+    key = F.col("p_partkey").cast("string")
+    made = _table(spark, sf, "part").select(key.alias("path"), F.lit(kind).alias("file_type"), key.alias("name"), F.octet_length(content).cast("bigint").alias("size"), content.cast("binary").alias("content"))
+    return files.decoded(made).select("name", "subdoc_index", F.col("seq").cast("string").alias("seq"))
+
+
+@registered("SELECT CAST(p_partkey AS VARCHAR) AS name, 0 AS subdoc_index, unnest([p_type || p_brand, p_name]) AS seq FROM part")
+def fasta_sequences(spark: SparkSession, sf: str) -> DataFrame:
+    lines = [F.concat(F.lit(">"), "p_brand"), F.col("p_type"), F.col("p_brand"), F.lit(""), F.lit(";note"), F.col("p_name"), F.lit("")]
+    return _made(spark, sf, "fasta", F.concat_ws("\n", *lines))
+
+
+@registered("SELECT CAST(p_partkey AS VARCHAR) AS name, 0 AS subdoc_index, unnest([p_type, p_name]) AS seq FROM part")
+def fastq_reads(spark: SparkSession, sf: str) -> DataFrame:
+    lines = [F.lit("@a"), F.col("p_type"), F.lit("+"), F.col("p_type"), F.lit("@b"), F.col("p_name"), F.lit("+b"), F.col("p_name"), F.lit("")]
+    return _made(spark, sf, "fastq", F.concat_ws("\n", *lines))
+
+
+@registered("SELECT p_partkey || '_' || lpad(CAST(i AS VARCHAR), 6, '0') AS name, CAST(i AS INTEGER) AS subdoc_index, [p_type || p_brand, p_name, ''][i + 1] AS seq FROM part, (SELECT unnest([0, 1, 2]) AS i)")
+def mfasta_subdocs(spark: SparkSession, sf: str) -> DataFrame:
+    lines = [F.lit(">a"), F.col("p_type"), F.col("p_brand"), F.lit(">b"), F.col("p_name"), F.lit(";c"), F.col("p_type"), F.lit(">d"), F.lit("")]
+    return _made(spark, sf, "mfasta", F.concat_ws("\n", *lines))

@@ -152,11 +152,16 @@ def _decode(kind: str, name: str, size: int, data: bytes) -> Iterator[tuple[str,
         yield name, 0, size, seq
 
 
+def list_paths(lines: DataFrame, base: str) -> DataFrame:
+    """path of every line (value) of a list file; relative ones lie in base, blank lines and those that begin with # don't count."""
+    one = lines.where("trim(value) <> '' and not startswith(value, '#')").select(F.trim("value").alias("path"))
+    absolute = F.startswith("path", F.lit("/")) | F.contains("path", F.lit("://"))
+    return one.select(F.when(absolute, F.col("path")).otherwise(F.concat(F.lit(f"{base}/"), "path")).alias("path"))
+
+
 def _listed(spark: SparkSession, path: str) -> list[str]:
-    """Paths of a list file; relative ones lie beside it, blank lines and those that begin with # don't count."""
     base = path.rsplit("/", 1)[0] if "/" in path else "."
-    lines = spark.read.text(path).where("trim(value) <> '' and not startswith(value, '#')").select(F.trim("value")).collect()
-    return [x if x.startswith("/") or "://" in x else f"{base}/{x}" for (x,) in lines]
+    return [r.path for r in list_paths(spark.read.text(path), base).collect()]
 
 
 def is_list(path: str, wanted: str) -> bool:
@@ -182,7 +187,12 @@ def read_files(spark: SparkSession, path: str, file_type: str = "any", skip_brok
     plain = F.regexp_replace("path", "^file:/+", "/")
     typed = raw.select(plain.alias("path"), sniff(F.col("path")).alias("file_type"), F.col("length").alias("size"), "content").withColumn("name", base_name(F.col("path")))
     typed = typed.where(accepted(F.col("file_type"), "any" if single else wanted))
-    text = typed.where("file_type = 'text'").select("path", "file_type", "name", F.lit(0).alias("subdoc_index"), "size", F.col("content").alias("seq"))
+    return decoded(typed, skip)
+
+
+def decoded(files: DataFrame, skip_broken: bool = False) -> DataFrame:
+    """Segments of path, file_type, name, size, content."""
+    text = files.where("file_type = 'text'").select("path", "file_type", "name", F.lit(0).alias("subdoc_index"), "size", F.col("content").alias("seq"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["path", "file_type", "name", "subdoc_index", "size", "seq"]
@@ -192,14 +202,14 @@ def read_files(spark: SparkSession, path: str, file_type: str = "any", skip_brok
                 try:
                     found = list(_decode(row["file_type"], row["name"], row["size"], row["content"]))
                 except (FormatError, struct.error, ValueError, OSError) as error:
-                    if not skip:
+                    if not skip_broken:
                         raise
                     logging.getLogger("sigspark").warning("%s is left out: %s", row["path"], error)
                     continue
                 columns = zip(*((row["path"], row["file_type"], *f) for f in found))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)] or [pa.array([], t) for t in types], names)
 
-    rest = typed.where("file_type <> 'text'").select("path", "file_type", "name", "size", "content").mapInArrow(decode, SCHEMA)
+    rest = files.where("file_type <> 'text'").select("path", "file_type", "name", "size", "content").mapInArrow(decode, SCHEMA)
     return text.unionByName(rest)
 
 
