@@ -9,21 +9,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sigspark.llm import decontaminate, langid, lines, sentencepieces, simhash
-from sigspark.llm.common import materialize, table
+from sigspark.llm.common import bound_batches, materialize, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest-centroid classifier doesn't reject."""
+    bound_batches(spark)
     return langid.keep_identified(docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that are like an earlier one."""
+    bound_batches(spark)
     return lines.drop_duplicates(docs)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
+    bound_batches(spark)
     return simhash.keep_one(docs)
 
 
@@ -34,6 +37,7 @@ def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, with whether decoding them gives the text."""
+    bound_batches(spark)
     return sentencepieces.encode(docs)
 
 

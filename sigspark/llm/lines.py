@@ -217,7 +217,7 @@ def _edges(rows: DataFrame) -> DataFrame:
     seen = np.zeros((64, FILTER_BITS // 512), np.uint8)
     for n, b in marks.collect():  # FILTER_BITS bits in all
         seen[n] = np.frombuffer(b, np.uint8)
-    sent = spark.sparkContext.broadcast(np.unpackbits(seen.ravel()).astype(bool))
+    sent = spark.sparkContext.broadcast(seen.ravel())
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines, wanted = Lines(), sent.value
@@ -225,7 +225,8 @@ def _edges(rows: DataFrame) -> DataFrame:
             for _, data, offsets in text_slices(batch.column(0)):
                 lines.load(data, offsets)
                 h, one = np.unique(lines.hash, return_index=True)
-                hit = wanted[_slots(h)] & (lines.end[one] - lines.start[one] >= SHINGLE)
+                slot = _slots(h)
+                hit = ((wanted[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1).astype(bool) & (lines.end[one] - lines.start[one] >= SHINGLE)
                 whole = lines.x.tobytes()
                 texts = [whole[a:b] for a, b in zip(lines.start[one[hit]].tolist(), lines.end[one[hit]].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(h[hit].view(np.int64)), pa.array(texts, pa.binary())], ["line", "content"])

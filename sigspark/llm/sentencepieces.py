@@ -28,8 +28,8 @@ from sigspark.llm.common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Remembered parts and pairs, at most, in a worker; they are forgotten together beyond that.
-REMEMBERED = 1_000_000
+#: Remembered pairs, at most, in a worker, and parts in each of two generations: the older one is forgotten when the newer one is full.
+REMEMBERED = 250_000
 DEAD = -np.inf
 
 
@@ -72,6 +72,9 @@ class Lattice:
         self.pairs: dict[tuple[str, str], bool] = {}
         self.joined: dict[int, bool] = {}
         self.parts: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+        #: Neighbouring characters of some piece. Others part a text: nothing is merged across them.
+        self.inner = {p[i : i + 2] for p in vocabulary for i in range(len(p) - 1)}
         self.breaks = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
     def merge(self, s: str) -> list[str]:
@@ -124,8 +127,8 @@ class Lattice:
                     if good is None:
                         if len(pairs) > REMEMBERED:
                             pairs.clear()
-                        before = s[i - path[-1][0] : i] if path else ""
-                        good = pairs[key] = self.compatible(before, s[i : i + k])
+                        before, this = s[i - path[-1][0] : i] if path else "", s[i : i + k]
+                        good = pairs[key] = self.merge(before + this) == ([before, this] if path else [this])
                     if good:
                         break
                 k -= 1
@@ -157,9 +160,17 @@ class Lattice:
         """Ids of a part as 32-bit numbers."""
         found = self.parts.get(s)
         if found is None:
+            found = self.older.get(s)
+            if found is None:
+                inner = self.inner
+                cuts = [i for i in range(1, len(s)) if s[i - 1 : i + 1] not in inner]
+                if cuts:
+                    found = b"".join([self.part(s[i:j]) for i, j in zip([0, *cuts], [*cuts, len(s)])])
+                else:
+                    found = np.array(self.solve(s), "<i4").tobytes()
             if len(self.parts) > REMEMBERED:
-                self.parts = {"": b""}
-            found = self.parts[s] = np.array(self.solve(s), "<i4").tobytes()
+                self.older, self.parts = self.parts, {"": b""}
+            self.parts[s] = found
         return found
 
     def split(self, s: str) -> list[str]:
@@ -188,10 +199,8 @@ class Lattice:
             if "\n" in s and "\n" not in self.letters:
                 s = s.replace("\n", " \n ")
             parts = s.split(" ")
-        try:
-            return b"".join(map(self.parts.__getitem__, parts))
-        except KeyError:
-            return b"".join([self.part(p) for p in parts])
+        get, part = self.parts.get, self.part
+        return b"".join([get(p) or part(p) for p in parts])
 
     def decode(self, ids: list[int]) -> str:
         if not self.high.isdisjoint(ids):
