@@ -16,7 +16,7 @@ def num_terms(length: Column, k: int) -> Column:
 
 
 def _cut(segments: DataFrame, own: list[str], k: int) -> DataFrame:
-    """Windows' 1-based places `i` beside these columns, of `_n` windows; segments shorter than k have none.
+    """Windows' 1-based places `_i` beside these columns, of `_n` windows; segments shorter than k have none.
 
     The places are generated, never the windows, so a row of a long sequence isn't copied for each of them.
     """
@@ -24,13 +24,13 @@ def _cut(segments: DataFrame, own: list[str], k: int) -> DataFrame:
     zero, step = F.lit(0).cast("bigint"), F.lit(CHUNK).cast("bigint")
     # sequence() would count down from 1 to less than 1
     chunks = segments.where(n > 0).select(*own, n.alias("_n"), F.explode(F.sequence(zero, n - 1, step)).alias("_from"))
-    return chunks.select(*own, "_n", F.explode(F.sequence(F.col("_from") + 1, F.least(F.col("_from") + CHUNK, F.col("_n")))).alias("i"))
+    return chunks.select(*own, "_n", F.explode(F.sequence(F.col("_from") + 1, F.least(F.col("_from") + CHUNK, F.col("_n")))).alias("_i"))
 
 
 def windows(segments: DataFrame, k: int) -> DataFrame:
     """Segments' columns but seq, with pos (from 0) and term: every window of k bytes."""
     own = [c for c in segments.columns if c != "seq"]
-    return _cut(segments, [*own, "seq"], k).select(*own, (F.col("i") - 1).alias("pos"), F.expr(f"substring(seq, cast(i as int), {k})").alias("term"))
+    return _cut(segments, [*own, "seq"], k).select(*own, (F.col("_i") - 1).alias("pos"), F.expr(f"substring(seq, cast(_i as int), {k})").alias("term"))
 
 
 def forward(seq: Column) -> Column:
@@ -49,10 +49,10 @@ def canonical_windows(segments: DataFrame, k: int) -> DataFrame:
     both = segments.select(*own, "seq", F.encode(f, "ISO-8859-1").alias("_f"), F.encode(F.reverse(F.translate(f, "ACGT", "TGCA")), "ISO-8859-1").alias("_r"))
     cut = _cut(both, [*own, "_f", "_r"], k)
     half = k // 2
-    at, back = "cast(i as int)", "cast(_n - i + 1 as int)"
+    at, back = "cast(_i as int)", "cast(_n - _i + 1 as int)"
     flip = F.expr(f"substring(_f, {at}, {half}) > substring(_r, {back}, {half})")
     term = F.when(flip, F.expr(f"substring(_r, {back}, {k})")).otherwise(F.expr(f"substring(_f, {at}, {k})"))
-    out = cut.select(*own, (F.col("i") - 1).alias("pos"), term.alias("term"), flip.alias("flipped"))
+    out = cut.select(*own, (F.col("_i") - 1).alias("pos"), term.alias("term"), flip.alias("flipped"))
     return out.withColumn("valid", ~F.contains("term", F.lit(b"\0")))
 
 
