@@ -91,6 +91,17 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarra
     return c, (x @ c.T).argmax(1)
 
 
+def left_out(x: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Each row's cosine to its cluster's centroid made without it; a row alone in its cluster counts only if all are, with cosine 0."""
+    total = np.zeros((own.max() + 1, x.shape[1]), np.float64)
+    np.add.at(total, own, x)
+    rest = total[own] - x
+    norm = np.linalg.norm(rest, axis=1)
+    cos = (rest * x).sum(1) / np.where(norm > 0, norm, 1)
+    several = np.bincount(own)[own] > 1
+    return cos[several] if several.any() else np.zeros(1)
+
+
 def train(docs: DataFrame, per_language: int = 400, clusters: int = 4, tail: float = 0.005, slack: float = 1.25) -> Model:
     """docs: doc_id, text, lang. Rows without text or lang teach nothing; with none at all, everything is rejected."""
     spark = docs.sparkSession
@@ -121,7 +132,7 @@ def train(docs: DataFrame, per_language: int = 400, clusters: int = 4, tail: flo
     for i, name in enumerate(names):
         mine = x[(langs == name) & x.any(1)]
         c, own = spherical_kmeans(mine, clusters)
-        least = 1 - slack * (1 - np.quantile((mine * c[own]).sum(1), tail))
+        least = 1 - slack * (1 - np.quantile(left_out(mine, own), tail))
         for j in np.unique(own):
             centroids.append(c[j])
             owner.append(i)
