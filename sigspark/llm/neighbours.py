@@ -26,7 +26,7 @@ from sigspark.llm.common import Packer, exchange, mix, partitions, runs, table,
 LIST = 256
 MOST = 4096
 SAMPLE = 64
-REPLICATE, SEARCH = 1.015, 1.15
+REPLICATE, SEARCH = 1.015, 1.2
 DEGREE, LONG = 24, 8
 BATCH = 1024
 
