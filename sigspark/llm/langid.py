@@ -3,8 +3,8 @@
 Byte trigrams of the lower-cased text are hashed to buckets; vectors are normalised TF-IDF,
 document frequencies counted over all documents. Each language has several centroids from
 spherical k-means over a bounded sample of labelled rows (`per_language`). A document takes
-the language of the centroid with the highest cosine and is rejected if it is farther from
-it than `slack` times the distance within which all but `tail` of that language's sample lies.
+the language of the centroid with the highest cosine and is rejected if that is below the
+language's limit for texts with as many different trigrams, see floors().
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from sigspark.llm.common import table, text_slices
 
 BITS = 12
 DIM = 1 << BITS
+#: Limits are by powers of 2 of the number of different trigrams; the last holds all longer texts.
+BANDS = 10
 
 
 def _letters() -> np.ndarray:
@@ -78,7 +80,7 @@ class Model:
         best = cos.argmax(1)
         top = cos[np.arange(len(v)), best].astype(np.float64)
         none = ~v.any(1)
-        return np.where(none, -1, self.owner[best]), np.where(none, 0.0, top), none | (top < self.floor[best])
+        return np.where(none, -1, self.owner[best]), np.where(none, 0.0, top), none | (top < self.floor[best, bands(v)])
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
@@ -91,18 +93,50 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarra
     return c, (x @ c.T).argmax(1)
 
 
-def left_out(x: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Each row's cosine to its cluster's centroid made without it; a row alone in its cluster counts only if all are, with cosine 0."""
-    total = np.zeros((own.max() + 1, x.shape[1]), np.float64)
-    np.add.at(total, own, x)
-    rest = total[own] - x
-    norm = np.linalg.norm(rest, axis=1)
-    cos = (rest * x).sum(1) / np.where(norm > 0, norm, 1)
-    several = np.bincount(own)[own] > 1
-    return cos[several] if several.any() else np.zeros(1)
+def bands(v: np.ndarray) -> np.ndarray:
+    """Number of the limit that holds for each vector."""
+    return np.minimum(np.log2(np.maximum(np.count_nonzero(v, axis=1), 1)).astype(np.int64), BANDS - 1)
 
 
-def train(docs: DataFrame, per_language: int = 400, clusters: int = 4, tail: float = 0.005, slack: float = 1.25) -> Model:
+def pieces(texts: list[bytes], idf: np.ndarray, shuffled: bool = False) -> np.ndarray:
+    """Vectors of pieces of every length, one of each from each text, that start with a word; shuffled: of their letters in random order."""
+    rng, out = np.random.default_rng(20240613), []
+    for text in texts:
+        x = np.frombuffer(text, np.uint8)
+        starts = np.flatnonzero(np.r_[True, LETTERS[x[:-1]] == 32] & (LETTERS[x] != 32))
+        for k in range(2, BANDS + 1):
+            left = starts[starts + (1 << k) <= len(x)]
+            if len(left):
+                at = left[rng.integers(len(left))]
+                piece = x[at : at + (1 << k) + (1 << (k - 1))]
+                out.append(rng.permutation(piece) if shuffled else piece)
+    v = [vectors(d, o, idf) for _, d, o in text_slices(pa.array([p.tobytes() for p in out], pa.binary()))]
+    v = np.concatenate(v) if v else np.zeros((0, DIM), np.float32)
+    return v[v.any(1)]
+
+
+def floors(own: tuple[np.ndarray, np.ndarray], foreign: tuple[np.ndarray, np.ndarray], tail: float) -> np.ndarray:
+    """A limit for each band, from (bands, highest cosines) of pieces.
+
+    It is what all but `tail` of the foreign pieces stay below. Where texts are too short for that, it is what all
+    but `tail` of the language's own reach, but never less than half of the foreign ones do. A band
+    without pieces has the limit of the nearest shorter one, or else of the shortest that has some. From
+    four trigrams on, limits never fall with length.
+    """
+    out = np.full(BANDS, np.nan)
+    for b in range(BANDS):
+        mine, other = own[1][own[0] == b], foreign[1][foreign[0] == b]
+        if len(mine) and len(other):
+            out[b] = max(np.quantile(other, 0.5), min(np.quantile(other, 1 - tail), np.quantile(mine, tail)))
+    have = np.flatnonzero(~np.isnan(out))
+    if not len(have):
+        return np.zeros(BANDS)
+    out = out[have[np.maximum(np.searchsorted(have, np.arange(BANDS), "right") - 1, 0)]]
+    out[2:] = np.maximum.accumulate(out[2:])
+    return out
+
+
+def train(docs: DataFrame, per_language: int = 400, clusters: int = 4, tail: float = 0.01) -> Model:
     """docs: doc_id, text, lang. Rows without text or lang teach nothing; with none at all, everything is rejected."""
     spark = docs.sparkSession
     lowered = docs.select(F.lower("text").alias("text"))
@@ -128,17 +162,24 @@ def train(docs: DataFrame, per_language: int = 400, clusters: int = 4, tail: flo
     x = [vectors(d, o, idf) for _, d, o in text_slices(rows.column("text"))]
     x = np.concatenate(x) if x else np.zeros((0, DIM), np.float32)
     names = sorted({lang for lang, v in zip(langs, x) if v.any()})
-    centroids, owner, floor = [], [], []
+    texts = [t.encode() for t in rows.column("text").to_pylist()]
+    centroids, owner, floor, halves, cut = [], [], [], [], {}
     for i, name in enumerate(names):
-        mine = x[(langs == name) & x.any(1)]
-        c, own = spherical_kmeans(mine, clusters)
-        least = 1 - slack * (1 - np.quantile(left_out(mine, own), tail))
+        at = np.flatnonzero((langs == name) & x.any(1))
+        c, own = spherical_kmeans(x[at], clusters)
         for j in np.unique(own):
             centroids.append(c[j])
             owner.append(i)
-            floor.append(least)
-    pack = lambda a, t: np.array(a, t)
-    return Model(names, idf, np.stack(centroids) if centroids else np.zeros((0, DIM), np.float32), pack(owner, np.int64), pack(floor, np.float64))
+        # limits come from pieces of rows that the centroids they are held against haven't seen
+        halves.append(spherical_kmeans(x[at[::2]], clusters)[0])
+        for shuffled in (False, True):
+            cut[i, shuffled] = pieces([texts[k] for k in (at[1::2] if len(at) > 1 else at)], idf, shuffled)
+    for i in range(len(names)):
+        met = {key: (bands(v), (v @ halves[i].T).max(1)) for key, v in cut.items()}
+        foreign = [m for (k, shuffled), m in met.items() if k != i or shuffled]
+        floor.append(floors(met[i, False], (np.concatenate([b for b, _ in foreign]), np.concatenate([m for _, m in foreign])), tail))
+    owner = np.array(owner, np.int64)
+    return Model(names, idf, np.stack(centroids) if centroids else np.zeros((0, DIM), np.float32), owner, np.array(floor, np.float64).reshape(-1, BANDS)[owner])
 
 
 def _each(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -215,6 +215,25 @@ def test_language_held_out(spark):
     assert n and right >= 0.97 and kept >= 0.95
 
 
+FOREIGN = [
+    "Российская академия наук опубликовала новый отчёт о состоянии климата",
+    "Η κυβέρνηση ανακοίνωσε νέα μέτρα για την προστασία του περιβάλλοντος",
+    "政府今天宣布了新的措施以保护环境和经济发展我们需要更多的时间",
+    "Hallitus ilmoitti tänään uusista toimenpiteistä ympäristön ja talouden suojelemiseksi",
+    "A kormány ma új intézkedéseket jelentett be a környezet és a gazdaság védelme érdekében",
+    "xqzj vkwp zzgh qpwx jvbn kqxz wvtr pqlm zxcv bnqw rtyp ghjk vbnm qwrt zxkj",
+]
+
+
+def test_language_rejects_foreign_and_gibberish(spark):
+    docs = spark.read.parquet(f"{SF.replace('sf0.001', 'sf0.1')}/documents.parquet")
+    model = langid.train(docs)
+    assert (model.floor > 0).all()
+    rows = [(i, t, None) for i, t in enumerate(FOREIGN + [" ".join([t] * 20) for t in FOREIGN] + [t[:20] for t in FOREIGN])]
+    assert [r.doc_id for r in langid.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), model).where("not rejected").collect()] == []
+    assert langid.identify(docs, model).agg(F.avg(F.col("rejected").cast("double"))).first()[0] <= 0.005
+
+
 def test_toxicity_held_out(spark):
     sf = SF.replace("sf0.001", "sf0.1")
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
