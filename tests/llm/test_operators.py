@@ -132,6 +132,27 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
 
 
+def test_simhash_against_all_pairs(spark):
+    docs = spark.read.parquet(f"{SF.replace('sf0.001', 'sf0.1')}/documents.parquet").select("doc_id", "text")
+    prints = [(r.doc_id, tuple(r[1:])) for r in simhash.fingerprints(docs).collect()]
+    names = sorted({f for _, f in prints})
+    f = np.array(names, np.int64)
+    bits = np.unpackbits(f.view(np.uint8).reshape(len(f), -1), axis=1).astype(np.float32) * 2 - 1
+    edges = []
+    for at in range(0, len(f), 1000):
+        i, j = np.nonzero(bits[at : at + 1000] @ bits.T >= bits.shape[1] - 2 * simhash.RADIUS)
+        edges.append(np.stack([i + at, j])[:, i + at < j])
+    a, b = np.concatenate(edges, axis=1)
+    root = np.arange(len(f))
+    member, leader = simhash.spanning(a, b)
+    root[member] = leader
+    number, groups = {x: root[i] for i, x in enumerate(names)}, collections.defaultdict(set)
+    for doc, x in prints:
+        groups[number[x]].add(doc)
+    want = {doc: min(g) for g in groups.values() if len(g) > 1 for doc in g}
+    assert {r.doc_id: r.group_id for r in simhash.groups(docs).collect()} == want
+
+
 def test_neighbours_recall(spark):
     t = pq.read_table(f"{SF}/embeddings.parquet").to_pydict()
     x = np.array(t["embedding"], np.float32)
