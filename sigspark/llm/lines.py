@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from sigspark.llm.common import BLOB_SCHEMA, Packer, Roller, connected_components, exchange, materialize, mix, partitions, runs, table, text_slices, unpack
 
-SHINGLE = 8
+SHINGLE = 5
 BANDS, ROWS = 10, 6
 SIMILAR = 0.8
 #: Bits of the filter through which candidates pass on their way to their texts; its size is fixed.
@@ -33,6 +33,8 @@ _NONE = np.uint32(0xFFFFFFFF)
 _rng = np.random.default_rng(20240611)
 _WEIGHTS = (_rng.integers(0, 1 << 62, (BANDS, ROWS)) * 2 + 1).astype(np.uint64)
 _SMALL = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+#: Shingles are read as 8 bytes, of which those of the shingle stay.
+_KEPT = np.uint64((1 << 8 * SHINGLE) - 1)
 MEMBER = np.dtype([("key", "<u8"), ("line", "<u8")])
 
 
@@ -68,7 +70,8 @@ def signatures(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     size = end - start - (SHINGLE - 1)
     line = np.repeat(np.arange(len(start), dtype=np.int64), size)
     at = np.arange(len(line)) + np.repeat(start - (np.cumsum(size) - size), size)
-    h = np.ndarray((len(x) - SHINGLE + 1,), "<u8", np.ascontiguousarray(x).data, strides=(1,))[at]
+    padded = np.r_[x, np.zeros(8 - SHINGLE, np.uint8)]
+    h = np.ndarray((len(x) - SHINGLE + 1,), "<u8", padded.data, strides=(1,))[at] & _KEPT
     h *= np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
@@ -101,7 +104,8 @@ def band_keys(sig: np.ndarray) -> Iterator[np.ndarray]:
 def shingles(text: bytes) -> set[int]:
     if len(text) < SHINGLE:
         return set()
-    return set(np.ndarray((len(text) - SHINGLE + 1,), "<u8", text, strides=(1,)).tolist())
+    padded = text + bytes(8 - SHINGLE)
+    return set((np.ndarray((len(text) - SHINGLE + 1,), "<u8", padded, strides=(1,)) & _KEPT).tolist())
 
 
 def joined(sets: list[set[int]]) -> list[tuple[int, int]]:

@@ -110,6 +110,16 @@ def test_lines_against_all_pairs(spark):
     assert sum(got.get(p) == g for p, g in want.items()) >= 0.97 * len(want)
 
 
+def test_lines_finds_small_edits_of_short_lines(spark):
+    rng = np.random.default_rng(7)
+    texts = []
+    for _ in range(20):
+        line = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 73))
+        texts += [f"<{line}>", f"<{line[:36]}#{line[37:]}>"]
+    rows = lines.duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.group_doc for r in rows} == {i: i - i % 2 for i in range(len(texts))}
+
+
 def test_joined_equals_all_pairs():
     rng = np.random.default_rng(3)
     for _ in range(20):
