@@ -10,53 +10,52 @@ from pyspark.sql import functions as F
 from sigspark.model import ClassicParams, CompactParams, Meta
 from sigspark.operators import build, search
 from sigspark.operators.build import Tables
-from sigspark.plans.storage import new_path
+from sigspark.plans.storage import drop, file_system, new_path
 from sigspark.sources.files import read_files
 
 
 def write(tables: Tables, path: str, mode: str = "errorifexists") -> None:
     """Bits are ranged and sorted by (page_id, row_idx), so that a scan for few rows skips the other row groups.
 
-    meta is written last: an index without it is not whole and doesn't open. Modes: errorifexists, overwrite, and
-    ignore, which keeps a whole index and finishes one that isn't.
+    meta is written last: an index without it is not whole and doesn't open. Modes: errorifexists refuses any
+    path that exists; overwrite replaces an index, whole or not; ignore keeps a whole index and finishes one that
+    isn't. What is no index is never written over.
     """
     spark = tables.bits.sparkSession
-    whole = exists(spark, path)
-    if whole and mode == "ignore":
-        return
-    if whole and mode == "errorifexists":
-        raise FileExistsError(path)
     if mode not in ("errorifexists", "overwrite", "ignore"):
         raise ValueError(f"unknown mode {mode!r}")
+    hadoop, fs = file_system(spark, path)
+    if fs.exists(hadoop):
+        if mode == "errorifexists":
+            raise FileExistsError(path)
+        names = {s.getPath().getName() for s in fs.listStatus(hadoop)} if fs.getFileStatus(hadoop).isDirectory() else {path}
+        if names - {"begun", "docs", "pages", "bits", "meta"} or (names and "begun" not in names):
+            raise FileExistsError(f"{path} is no index")
+        if mode == "ignore" and exists(spark, path):
+            return
     if mode == "overwrite":  # what is overwritten may be read by these tables: they go elsewhere first
         held = new_path(spark)
         _put(tables, held)
         tables = read(spark, held)
-        _drop(spark, f"{path}/meta")
+        drop(spark, [f"{path}/meta"])
     _put(tables, path)
+    if mode == "overwrite":
+        drop(spark, [held])
 
 
 def _put(tables: Tables, path: str) -> None:
     spark = tables.bits.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hadoop, fs = file_system(spark, f"{path}/begun")
+    fs.mkdirs(hadoop)
     tables.docs.write.mode("overwrite").parquet(f"{path}/docs")
     tables.pages.write.mode("overwrite").parquet(f"{path}/pages")
     tables.bits.repartitionByRange(parts, "page_id", "row_idx").sortWithinPartitions("page_id", "row_idx", "word_idx").write.mode("overwrite").parquet(f"{path}/bits")
     spark.createDataFrame([tables.meta.row()], "layout string, term_size int, canonicalize boolean, num_hashes int, family string, num_docs bigint, page_docs bigint").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
 
 
-def _fs(spark: SparkSession, path: str):
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    hadoop, fs = _fs(spark, path)
-    fs.delete(hadoop, True)
-
-
 def exists(spark: SparkSession, path: str) -> bool:
-    hadoop, fs = _fs(spark, f"{path}/meta/_SUCCESS")
+    hadoop, fs = file_system(spark, f"{path}/meta/_SUCCESS")
     return fs.exists(hadoop)
 
 

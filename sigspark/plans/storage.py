@@ -2,26 +2,45 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Folders of this process that haven't been dropped, oldest first.
+_written: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; in local mode without one, a temporary folder."""
+    """The folder of ``spark.checkpoint.dir``. Only in one JVM, as in tests, may it be unset: then it is a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="sigspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's path and its file system."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def new_path(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/sigspark/{uuid.uuid4().hex}"
+    """A new folder, in one of the application's that goes when the application ends."""
+    base = f"{shared_dir(spark)}/sigspark-{spark.sparkContext.applicationId}"
+    hadoop, fs = file_system(spark, base)
+    fs.mkdirs(hadoop)  # only what exists can be marked
+    fs.deleteOnExit(hadoop)
+    path = f"{base}/{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -31,6 +50,23 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders that materialize() wrote; nothing that reads them may be run any more."""
+    for path in paths:
+        hadoop, fs = file_system(spark, path)
+        fs.delete(hadoop, True)
+        if path in _written:
+            _written.remove(path)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() returns, materialized; all that was materialized on the way there is dropped."""
+    before = set(_written)
+    out = materialize(make())
+    drop(spark, [p for p in _written if p not in before][:-1])
+    return out
+
+
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """df with its position, from 0, in the order of these columns.
 

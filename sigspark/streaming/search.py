@@ -9,6 +9,7 @@ from sigspark.model import ClassicParams
 from sigspark.operators import build, search
 from sigspark.operators.build import Tables
 from sigspark.plans import index
+from sigspark.plans.storage import file_system
 
 
 def search_stream(queries: DataFrame, indices: list[Tables], sink: str, checkpoint: str, threshold: float = 0.8, limit: int = 0) -> StreamingQuery:
@@ -31,6 +32,6 @@ def ingest_stream(segments: DataFrame, folder: str, checkpoint: str, params: Cla
 
 def load_all(spark: SparkSession, folder: str) -> index.Index:
     """All indices of a folder, in the order of their names."""
-    hadoop, fs = index._fs(spark, folder)
+    hadoop, fs = file_system(spark, folder)
     paths = sorted(str(s.getPath().toString()) for s in fs.listStatus(hadoop))
     return index.Index.load(spark, *[p for p in paths if index.exists(spark, p)])

@@ -150,6 +150,12 @@ def test_store_combine_and_search(spark, tmp_path):
     with pytest.raises(FileExistsError):
         index.construct_classic(spark, _docs(spark, parts), f"{tmp_path}/all", params)
     index.construct_classic(spark, _docs(spark, parts), f"{tmp_path}/all", params, mode="ignore")
+    (tmp_path / "mine").mkdir()
+    spark.range(3).write.parquet(f"{tmp_path}/mine/docs")
+    for mode in ("errorifexists", "overwrite", "ignore"):
+        with pytest.raises(FileExistsError):
+            index.construct_classic(spark, _docs(spark, parts), f"{tmp_path}/mine", params, mode=mode)
+    assert spark.read.parquet(f"{tmp_path}/mine/docs").count() == 3
     index.construct_compact(spark, _docs(spark, parts), f"{tmp_path}/all", CompactParams(page_size=1), mode="overwrite")
     compact = index.Index.load(spark, f"{tmp_path}/all")
     assert compact.tables[0].pages.count() == 3
