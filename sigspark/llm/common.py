@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from sigspark.plans.storage import materialize  # noqa: F401
+from sigspark.plans.storage import drop, materialize, numbered  # noqa: F401
 
 BLOB_SCHEMA = "part int, blob binary"
 #: Bytes of packed records that a task holds before it hands them on.
 FLUSH_BYTES = 12 << 20
+#: Bytes of input files whose records a task holds at once.
+PART_BYTES = 16 << 20
 #: Bytes of text that numpy works on at once.
 SLICE_BYTES = 1 << 20
 
@@ -32,6 +35,46 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def input_bytes(*frames: DataFrame) -> int:
+    """Size of the files that these read, as the planner knows it; 0 for what it doesn't know."""
+    total = 0
+    for df in frames:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+        total += sum(x for x in sizes if x < 1 << 60)
+    return total
+
+
+def parts_of(*frames: DataFrame) -> int:
+    """Parts for records made of these: one a partition, more where a part would get beyond what a task should hold."""
+    return max(partitions(frames[0].sparkSession), -(-input_bytes(*frames) // PART_BYTES))
+
+
+def free_name(names: list[str], wanted: str) -> str:
+    """`wanted`, longer by underscores till it differs from all names; as in Spark, case doesn't count."""
+    taken = {n.lower() for n in names}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def with_numbers(docs: DataFrame, column: str, run: Callable[[DataFrame], DataFrame], *more: str) -> DataFrame:
+    """run(docs), of which `column` and `more` hold ids; where ids are no integers, run sees their numbers in ascending order instead.
+
+    docs has `column` and what else run needs; rows whose id is null are left out.
+    """
+    docs = docs.where(F.col(column).isNotNull())
+    kind = docs.schema[column].dataType
+    if isinstance(kind, IntegralType):
+        return run(docs.withColumn(column, F.col(column).cast("bigint")))
+    names = materialize(numbered(docs.select(F.col(column).alias("name_")).distinct(), ["name_"], "number_"))
+    out = run(docs.join(names, docs[column] == names["name_"]).withColumn(column, F.col("number_")).drop("name_", "number_"))
+    shown = out.columns
+    for c in (column, *more):
+        out = out.withColumnRenamed(c, "id_").join(names, F.col("id_") == names["number_"]).withColumnRenamed("name_", c).drop("id_", "number_")
+    return out.select(*shown)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer; returns a new array."""
     x = x.astype(np.uint64)
@@ -74,8 +117,8 @@ class Roller:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
-def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, UTF-8 bytes, offsets) over runs of rows of about `limit` bytes. A null is empty."""
+def text_slices(column: pa.Array, limit: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, UTF-8 bytes, offsets) over runs of at most `rows` rows of about `limit` bytes. A null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_binary())
@@ -89,7 +132,7 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
     at = 0
     while at < n:
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
-        end = min(end, n)
+        end = min(end, n, at + rows)
         yield at, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
 
@@ -138,14 +181,14 @@ class Packer:
             yield pa.RecordBatch.from_arrays([pa.array(part[starts]), pa.array(blobs, pa.binary())], ["part", "blob"])
 
 
-def exchange(df: DataFrame) -> DataFrame:
-    """Bring the blobs of each part together, part p to partition p."""
-    n = partitions(df.sparkSession)
-    return df.repartitionById(n, F.col("part")).select("blob")
+def exchange(df: DataFrame, parts: int) -> DataFrame:
+    """Bring the blobs of each of so many parts together; where a partition holds several, one after the other."""
+    n = min(parts, partitions(df.sparkSession))
+    met = df.repartitionById(n, (F.col("part") % n).cast("int"))
+    return (met.sortWithinPartitions("part") if parts > n else met).select("part", "blob")
 
 
-def unpack(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> np.ndarray:
-    blobs = [b.as_py() for batch in batches for b in batch.column(0)]
+def unpack(blobs: list[bytes], dtype: np.dtype) -> np.ndarray:
     out, at = np.zeros(sum(map(len, blobs)) // dtype.itemsize, dtype), 0
     for blob in blobs:
         n, byte = len(blob) // dtype.itemsize, 0
@@ -157,6 +200,21 @@ def unpack(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> np.ndarray:
     return out
 
 
+def unpacked(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> Iterator[np.ndarray]:
+    """The records of each part, after exchange()."""
+    now, held = None, []
+    for batch in batches:
+        for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if part != now and held:
+                records, held = unpack(held, dtype), []
+                yield records
+            now = part
+            held.append(blob)
+    if held:
+        records, held = unpack(held, dtype), []
+        yield records
+
+
 def runs(*sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of runs of equal keys."""
     n = len(sorted_keys[0])
@@ -200,3 +258,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         mark = now
     roots = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def within_bytes(rows: DataFrame, order: list[str], most: int, *by: str) -> DataFrame:
+    """Of rows that are few, those up to which `text` adds up to `most` bytes in this order, for each value of `by`."""
+    total = F.sum(F.octet_length("text").cast("bigint")).over(Window.partitionBy(*by).orderBy(*order))
+    return rows.withColumn("bytes_", total).where(F.col("bytes_") <= most).drop("bytes_")

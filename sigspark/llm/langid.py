@@ -2,7 +2,7 @@
 
 Byte trigrams of the lower-cased text are hashed to buckets; vectors are normalised TF-IDF,
 document frequencies counted over all documents. Each language has several centroids from
-spherical k-means over a bounded sample of labelled rows (`per_language`). A document takes
+spherical k-means over a bounded sample of labelled rows (`per_language`, `most_bytes`). A document takes
 the language of the centroid with the highest cosine and is rejected if that is below the
 language's limit for texts with as many different trigrams, see floors().
 """
@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sigspark.llm.common import table, text_slices
+from sigspark.llm.common import free_name, table, text_slices, within_bytes
 
 BITS = 12
 DIM = 1 << BITS
 #: Limits are by powers of 2 of the number of different trigrams; the last holds all longer texts.
 BANDS = 10
+#: Texts whose counts are held at once.
+ROWS = 512
 
 
 def _letters() -> np.ndarray:
@@ -110,7 +112,7 @@ def pieces(texts: list[bytes], idf: np.ndarray, shuffled: bool = False) -> np.nd
                 at = left[rng.integers(len(left))]
                 piece = x[at : at + (1 << k) + (1 << (k - 1))]
                 out.append(rng.permutation(piece) if shuffled else piece)
-    v = [vectors(d, o, idf) for _, d, o in text_slices(pa.array([p.tobytes() for p in out], pa.binary()))]
+    v = [vectors(d, o, idf) for _, d, o in text_slices(pa.array([p.tobytes() for p in out], pa.binary()), rows=ROWS)]
     v = np.concatenate(v) if v else np.zeros((0, DIM), np.float32)
     return v[v.any(1)]
 
@@ -118,8 +120,9 @@ def pieces(texts: list[bytes], idf: np.ndarray, shuffled: bool = False) -> np.nd
 def floors(own: tuple[np.ndarray, np.ndarray], foreign: tuple[np.ndarray, np.ndarray], tail: float) -> np.ndarray:
     """A limit for each band, from (bands, highest cosines) of pieces.
 
-    It is what all but `tail` of the foreign pieces stay below. Where texts are too short for that, it is what all
-    but `tail` of the language's own reach, but never less than half of the foreign ones do. A band
+    Between what all but `tail` of the foreign pieces stay below and what all but `tail` of the language's own
+    reach, it is a third of the way up. Where texts are too short to tell them apart, it is what all but `tail` of the
+    language's own reach, but never less than half of the foreign ones do. A band
     without pieces has the limit of the nearest shorter one, or else of the shortest that has some. From
     four trigrams on, limits never fall with length.
     """
@@ -127,7 +130,8 @@ def floors(own: tuple[np.ndarray, np.ndarray], foreign: tuple[np.ndarray, np.nda
     for b in range(BANDS):
         mine, other = own[1][own[0] == b], foreign[1][foreign[0] == b]
         if len(mine) and len(other):
-            out[b] = max(np.quantile(other, 0.5), min(np.quantile(other, 1 - tail), np.quantile(mine, tail)))
+            low, high = np.quantile(other, 1 - tail), np.quantile(mine, tail)
+            out[b] = low + (high - low) / 3 if high > low else max(np.quantile(other, 0.5), high)
     have = np.flatnonzero(~np.isnan(out))
     if not len(have):
         return np.zeros(BANDS)
@@ -136,15 +140,19 @@ def floors(own: tuple[np.ndarray, np.ndarray], foreign: tuple[np.ndarray, np.nda
     return out
 
 
-def train(docs: DataFrame, per_language: int = 400, clusters: int = 4, tail: float = 0.01) -> Model:
-    """docs: doc_id, text, lang. Rows without text or lang teach nothing; with none at all, everything is rejected."""
+def train(docs: DataFrame, per_language: int = 400, clusters: int = 4, tail: float = 0.01, languages: int = 200, most_bytes: int = 16 << 20) -> Model:
+    """docs: doc_id, text, lang. Rows without text or lang teach nothing; with none at all, everything is rejected.
+
+    The sample has at most `per_language` rows and `most_bytes` bytes of each of the `languages` most frequent
+    languages, in the order of a hash of id and text; of equal rows it has one.
+    """
     spark = docs.sparkSession
     lowered = docs.select(F.lower("text").alias("text"))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(DIM, np.int64), 0
         for batch in batches:
-            for _, data, offsets in text_slices(batch.column(0)):
+            for _, data, offsets in text_slices(batch.column(0), rows=ROWS):
                 df += (counts(data, offsets) > 0).sum(0)
                 n += len(offsets) - 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, DIM, dtype=np.int32)), pa.array(np.r_[n, df])], ["bucket", "df"])
@@ -153,13 +161,14 @@ def train(docs: DataFrame, per_language: int = 400, clusters: int = 4, tail: flo
     df = np.array([found.get(i, 0) for i in range(DIM)])
     idf = (np.log((1 + found.get(-1, 0)) / (1 + df)) + 1).astype(np.float32)
 
-    order = F.xxhash64("doc_id")
-    labelled = docs.where("lang is not null and text is not null and length(text) > 0")
-    ranked = docs.where("lang is not null").select("lang", order.alias("h"), F.row_number().over(Window.partitionBy("lang").orderBy(order)).alias("n"))
-    limits = ranked.where(F.col("n") <= per_language).groupBy("lang").agg(F.max("h").alias("most"))
-    rows = labelled.join(F.broadcast(limits), "lang").where(order <= F.col("most")).select("lang", F.lower("text").alias("text"), order.alias("h")).orderBy("lang", "h", "text").toArrow()
+    labelled = docs.where("lang is not null and text is not null and length(text) > 0").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    common = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
+    ranked = labelled.select("lang", "h", F.row_number().over(Window.partitionBy("lang").orderBy("h")).alias("n"))
+    limits = ranked.where(F.col("n") <= per_language).groupBy("lang").agg(F.max("h").alias("most")).join(common, "lang")
+    rows = labelled.join(F.broadcast(limits), "lang").where(F.col("h") <= F.col("most")).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    rows = within_bytes(rows, ["h"], most_bytes, "lang").select("lang", F.lower("text").alias("text"), "h").orderBy("lang", "h").toArrow()
     langs = np.array(rows.column("lang").to_pylist(), object)
-    x = [vectors(d, o, idf) for _, d, o in text_slices(rows.column("text"))]
+    x = [vectors(d, o, idf) for _, d, o in text_slices(rows.column("text"), rows=ROWS)]
     x = np.concatenate(x) if x else np.zeros((0, DIM), np.float32)
     names = sorted({lang for lang, v in zip(langs, x) if v.any()})
     texts = [t.encode() for t in rows.column("text").to_pylist()]
@@ -183,7 +192,7 @@ def train(docs: DataFrame, per_language: int = 400, clusters: int = 4, tail: flo
 
 
 def _each(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    found = [model.label(d, o) for _, d, o in text_slices(column)]
+    found = [model.label(d, o) for _, d, o in text_slices(column, rows=ROWS)]
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool))
 
 
@@ -208,18 +217,19 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """The rows of docs, with all their columns, that identify() does not reject."""
+    """The rows of docs, with all their columns, that identify() does not reject.
+
+    Null, empty and trigram-free texts go; repeated rows stay or go alike. An empty table gives an empty result.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model or train(docs))
-    names, lowered = docs.columns, "lowered"
-    while lowered in names:
-        lowered += "_"
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rejected = _each(sent.value, batch.column(len(names)))[2]
             yield batch.filter(pa.array(~rejected)).select(list(range(len(names))))
 
-    return docs.withColumn(lowered, F.lower("text")).mapInArrow(run, docs.schema)
+    return docs.withColumn(free_name(names, "lowered"), F.lower("text")).mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
