@@ -6,8 +6,9 @@ two of its members. Two equal passages of PERIOD + WINDOW - 1 = 50 words, wherev
 begin both at a common distance, below PERIOD, before a hashed window: they share an aligned anchor.
 
 Anchors that occur twice are extended: the 50-word windows around them, and only those, are
-hashed and brought together. What then occurs twice is exactly every repeated window of 50
-words, and neighbouring ones with the same source make up the maximal passages. All steps are
+hashed and brought together. What then occurs twice is every repeated window of 50 words, up to
+collisions of 64-bit hashes (polynomials modulo 2**64, for which such texts can be made on
+purpose), and neighbouring ones with the same source make up the maximal passages. All steps are
 linear in the records; there are no pairs of documents, so thousands of copies cost no more each.
 """
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm.common import BLOB_SCHEMA, Packer, Roller, exchange, mix, partitions, runs, table, text_slices, unpack, word_spans
+from sigspark.llm.common import BLOB_SCHEMA, Packer, Roller, exchange, free_name, mix, numbered, parts_of, runs, table, text_slices, unpacked, with_numbers, word_spans
 
 PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
@@ -95,11 +96,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     and of all longer characters; ASCII case doesn't count. A source in the same document counts.
 
     Null texts, shorter ones and rows with a null doc_id have no passages. Rows that share a doc_id
-    are one document: equal windows at the same place of both are one. Other columns are ignored; an
-    empty table gives an empty result.
+    are one document: equal windows at the same place of both are one. Ids of any type that can be
+    sorted will do; source_id has it too. Other columns are ignored; an empty table gives an empty result.
     """
-    parts = partitions(docs.sparkSession)
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return with_numbers(docs.where("text is not null").select("doc_id", "text"), "doc_id", _repeats, "source_id")
+
+
+def _repeats(rows: DataFrame) -> DataFrame:
+    parts = parts_of(rows)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, words = Packer(parts), Words()
@@ -114,14 +118,15 @@ def repeats(docs: DataFrame) -> DataFrame:
         yield from packer.flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, starts, ends = _shared(unpack(batches, PLACE))
-        hit = places[_members(starts, ends)]
-        hit = hit[np.lexsort((hit["at"], hit["doc"]))]
-        first, last = runs(hit["doc"])
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(hit)].astype(np.int32) if len(first) else np.zeros(1, np.int32)), pa.array(np.ascontiguousarray(hit["at"])))
-        yield pa.RecordBatch.from_arrays([pa.array(hit["doc"][first]), lists], ["doc", "ats"])
-
-    met = exchange(rows.mapInArrow(anchors, BLOB_SCHEMA)).mapInArrow(meet, "doc bigint, ats array<int>")
+        for found in unpacked(batches, PLACE):
+            places, starts, ends = _shared(found)
+            hit = places[_members(starts, ends)]
+            hit = hit[np.lexsort((hit["at"], hit["doc"]))]
+            first, last = runs(hit["doc"])
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(hit)].astype(np.int32) if len(first) else np.zeros(1, np.int32)), pa.array(np.ascontiguousarray(hit["at"])))
+            yield pa.RecordBatch.from_arrays([pa.array(hit["doc"][first]), lists], ["doc", "ats"])
+
+    met = exchange(rows.mapInArrow(anchors, BLOB_SCHEMA), parts).mapInArrow(meet, "doc bigint, ats array<int>")
     met = met.groupBy("doc").agg(F.flatten(F.collect_list("ats")).alias("ats"))
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,31 +153,84 @@ def repeats(docs: DataFrame) -> DataFrame:
         yield from packer.flush()
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, starts, ends = _shared(unpack(batches, PLACE))
-        later = _members(starts + 1, ends)
-        origin = places[np.repeat(starts, ends - starts - 1)]
-        out = np.zeros(len(later), MATCH)
-        out["doc"], out["at"], out["source"] = places["doc"][later], places["at"][later], origin["doc"]
-        out["back"] = out["at"] - origin["at"]
-        out = out[np.lexsort((out["at"], out["doc"]))]
         packer = Packer(parts)
-        for at in range(0, len(out), 1 << 20):
-            yield from packer.add(mix(out["doc"][at : at + (1 << 20)].view(np.uint64)), out[at : at + (1 << 20)])
+        for found in unpacked(batches, PLACE):
+            places, starts, ends = _shared(found)
+            later = _members(starts + 1, ends)
+            origin = places[np.repeat(starts, ends - starts - 1)]
+            out = np.zeros(len(later), MATCH)
+            out["doc"], out["at"], out["source"] = places["doc"][later], places["at"][later], origin["doc"]
+            out["back"] = out["at"] - origin["at"]
+            out = out[np.lexsort((out["at"], out["doc"]))]
+            for at in range(0, len(out), 1 << 20):
+                yield from packer.add(mix(out["doc"][at : at + (1 << 20)].view(np.uint64)), out[at : at + (1 << 20)])
         yield from packer.flush()
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = unpack(batches, MATCH)
-        m = m[np.lexsort((m["at"], m["back"], m["source"], m["doc"]))]
-        starts, ends = runs(m["doc"], m["source"], m["back"], m["at"] - np.arange(len(m)))
-        head = m[starts]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(head["doc"]), pa.array(head["at"].astype(np.int64)), pa.array((ends - starts) + (LENGTH - 1)), pa.array(head["source"]), pa.array((head["at"] - head["back"]).astype(np.int64))],
-            ["doc_id", "start", "n_words", "source_id", "source_start"],
-        )
+        for m in unpacked(batches, MATCH):
+            m = m[np.lexsort((m["at"], m["back"], m["source"], m["doc"]))]
+            starts, ends = runs(m["doc"], m["source"], m["back"], m["at"] - np.arange(len(m)))
+            head = m[starts]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(head["doc"]), pa.array(head["at"].astype(np.int64)), pa.array((ends - starts) + (LENGTH - 1)), pa.array(head["source"]), pa.array((head["at"] - head["back"]).astype(np.int64))],
+                ["doc_id", "start", "n_words", "source_id", "source_start"],
+            )
 
     texts = rows.join(met, rows["doc_id"] == met["doc"]).select("doc_id", "text", "ats")
-    windows = exchange(texts.mapInArrow(extend, BLOB_SCHEMA)).mapInArrow(first, BLOB_SCHEMA)
-    return exchange(windows).mapInArrow(passages, "doc_id bigint, start bigint, n_words bigint, source_id bigint, source_start bigint")
+    windows = exchange(texts.mapInArrow(extend, BLOB_SCHEMA), parts).mapInArrow(first, BLOB_SCHEMA)
+    return exchange(windows, parts).mapInArrow(passages, "doc_id bigint, start bigint, n_words bigint, source_id bigint, source_start bigint")
+
+
+def drop_repeats(docs: DataFrame) -> DataFrame:
+    """docs with all their columns, without the passages that repeats() finds; n_chars follows the text.
+
+    Here every row is a document of its own, and the first place is that of the first row by (doc_id, text),
+    null ids first. A passage goes from its first word to the next word after it. A row goes if it had a word and
+    has none left; null texts and texts without a word stay as they are. An empty table gives an empty result.
+    """
+    number, ranges = free_name(docs.columns, "number"), free_name(docs.columns, "ranges")
+    rows = numbered(docs, ["doc_id", "text"], number)
+    found = _repeats(rows.where("text is not null").select(F.col(number).alias("doc_id"), "text"))
+    gone = found.groupBy("doc_id").agg(F.collect_list(F.array("start", "n_words")).alias(ranges)).withColumnRenamed("doc_id", number)
+    names, text = docs.columns, docs.columns.index("text")
+    n_chars = names.index("n_chars") if "n_chars" in names else -1
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, keep = batch.column(text).to_pylist(), []
+            for i, holes in enumerate(batch.column(len(names)).to_pylist()):
+                if holes and texts[i] is not None:
+                    texts[i] = without(texts[i].encode(), holes)
+                keep.append(not holes or texts[i] is not None)
+            columns = batch.columns[: len(names)]
+            columns[text] = pa.array(texts, batch.schema.field(text).type)
+            if n_chars >= 0:
+                sizes = [old if not holes else len(t or "") for old, holes, t in zip(columns[n_chars].to_pylist(), batch.column(len(names)).to_pylist(), texts)]
+                columns[n_chars] = pa.array(sizes, columns[n_chars].type)
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
+
+    return rows.join(gone, number, "left").select(*docs.columns, ranges).mapInArrow(cut, docs.schema)
+
+
+def without(text: bytes, holes: list[list[int]]) -> str | None:
+    """A text without the words of these ranges (start, number); None if no word is left."""
+    x = FOLD[np.frombuffer(text, np.uint8)]
+    start, _, _ = word_spans(x, np.array([0, len(x)]))
+    gone = np.zeros(len(start) + 1, np.int64)
+    for at, n in holes:
+        gone[at] += 1
+        gone[at + n] -= 1
+    gone = np.cumsum(gone)[:-1] > 0
+    if gone.all():
+        return None
+    edges = np.r_[start, len(x)]
+    first = np.flatnonzero(gone & ~np.r_[False, gone[:-1]])
+    last = np.flatnonzero(gone & ~np.r_[gone[1:], False])
+    kept, at = [], 0
+    for a, b in zip(edges[first].tolist(), edges[last + 1].tolist()):
+        kept.append(text[at:a])
+        at = b
+    return b"".join([*kept, text[at:]]).decode()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
