@@ -5,10 +5,12 @@ bit j of their MD5-based 256-bit hash set. Documents are near-duplicates if thei
 differ in at most `RADIUS` bits; groups are the connected components. Equal fingerprints are
 collapsed first.
 
-Candidates are fingerprints that agree in a block of bits: each of `SHUFFLES` random orders of the bits
-is cut into 16 blocks of 16. Fewer than 16 different bits leave a block of each order whole, so none
-of those pairs is missed; at random differences of 40 bits, the radius, 10 of 20,000 pairs in a
-trial had no whole block, at 30 and at 35 bits none.
+Candidates are fingerprints that agree in a block of bits: random orders of the bits are cut into blocks of
+b bits. b is log2 of the number of fingerprints less 4, but 16 at least, so that a bucket of unrelated
+fingerprints stays at some 16; the number of orders grows with b so that all but one in `MISSED` pairs at random
+differences of `RADIUS` bits share a block, see plan(). Work grows as n ** 1.25. Up to 2**20 fingerprints there are
+8 orders of 16 blocks: fewer than 16 different bits leave a block of each order whole, so none of those pairs
+is missed; of random pairs at 40 bits 10 of 20,000 in a trial had no whole block, at 30 and at 35 bits none.
 
 In each bucket of a block, the distances of each 64-bit word of the fingerprints to reference
 words are tabulated once. By the triangle inequality the largest difference between two rows
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -27,25 +30,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm.common import BLOB_SCHEMA, Packer, connected_components, exchange, materialize, mix, partitions, runs, signed, table, unpack
+from sigspark.llm.common import BLOB_SCHEMA, Packer, connected_components, exchange, materialize, mix, partitions, runs, signed, table, unpacked, with_numbers
 
 WORDS = 4
 RADIUS = 40
-TABLES = 32
-SAMPLED = 18
 PIVOTS = 32
-SHUFFLES = 8
-#: Orders of bits whose buckets are gathered at once.
-AT_ONCE = 2
+BITS = 64 * WORDS
+#: One in so many pairs at the radius is missed.
+MISSED = 1000
+#: Bytes of records that a task holds.
+HELD = 64 << 20
 #: Rows of a bucket up to which all its pairs are looked at together.
 TOGETHER = 256
 
 SPLIT = bytes(b if b > 127 or chr(b).isdigit() or chr(b).islower() else 32 for b in range(256))
 _rng = np.random.default_rng(20240607)
-#: Of the SQL twin only: it still asks that a pair shares one of these samples of bits.
-MASKS = [(t % WORDS, sum(1 << int(b) for b in _rng.choice(64, SAMPLED, replace=False))) for t in range(TABLES)]
 REFERENCES = _rng.integers(0, 1 << 63, (WORDS, PIVOTS), np.int64).astype(np.uint64) * np.uint64(2) + _rng.integers(0, 2, (WORDS, PIVOTS)).astype(np.uint64)
-ORDERS = np.stack([_rng.permutation(64 * WORDS) for _ in range(SHUFFLES)])
 #: A byte's bits, the highest first, each in a byte of its own.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).reshape(256, 8).copy().view("<u8").ravel()
 
@@ -96,12 +96,27 @@ class Hasher:
         return out, sizes > 0
 
 
-def block_keys(f: np.ndarray, orders: Iterable[int] = range(SHUFFLES)) -> Iterator[np.ndarray]:
+def plan(n: int) -> tuple[int, int]:
+    """(bits of a block, orders) for n different fingerprints."""
+    bits = max(16, math.ceil(math.log2(max(n, 2))) - 4)
+    tables = math.log(MISSED) / -math.log1p(-((1 - RADIUS / BITS) ** bits))
+    return bits, max(8, math.ceil(tables / (BITS // bits)))
+
+
+@functools.cache
+def order(number: int) -> np.ndarray:
+    return np.random.default_rng([20240607, number]).permutation(BITS)
+
+
+def block_keys(f: np.ndarray, orders: Iterable[int], size: int) -> Iterator[np.ndarray]:
+    """A key for each whole block of `size` bits in each of these orders."""
     bits = np.unpackbits(np.ascontiguousarray(f).view(np.uint8).reshape(len(f), 8 * WORDS), axis=1)
     for s in orders:
-        blocks = np.ascontiguousarray(np.packbits(bits[:, ORDERS[s]], axis=1)).view(np.uint16).astype(np.uint64)
-        for t in range(blocks.shape[1]):
-            yield mix(blocks[:, t] | np.uint64((s * blocks.shape[1] + t + 1) << 16))
+        for t in range(BITS // size):
+            block = np.zeros((len(f), 8), np.uint8)
+            packed = np.packbits(bits[:, order(s)[t * size : (t + 1) * size]], axis=1)
+            block[:, : packed.shape[1]] = packed
+            yield mix(block.view(np.uint64).ravel() ^ mix(np.full(len(f), s * BITS + t + 1, np.uint64)))
 
 
 def pivot_table(f: np.ndarray) -> np.ndarray:
@@ -157,6 +172,13 @@ def large_bucket(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a.append(np.full(len(mine), leader))
         b.append(mine)
         rest = others[star[others] < 0]
+    # members are within the radius of their leaders, so stars whose leaders are farther apart than three radii don't touch
+    leaders = f[[s[0] for s in stars]]
+    x, y = [], []
+    for i in range(1, len(stars)):
+        near = np.flatnonzero(np.bitwise_count(leaders[:i] ^ leaders[i]).sum(1, dtype=np.int32) <= 3 * RADIUS)
+        x.append(np.full(len(near), i))
+        y.append(near)
     root = list(range(len(stars)))
 
     def find(i: int) -> int:
@@ -165,21 +187,22 @@ def large_bucket(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             i = root[i]
         return i
 
-    for i in range(len(stars)):
-        for j in range(i):
-            if find(i) == find(j):
-                continue
-            near = np.bitwise_count(f[stars[i][0]] ^ f[stars[j][0]]).sum()
-            if near > 3 * RADIUS:  # members are within the radius of their leaders
-                continue
-            x, y = np.repeat(stars[i], len(stars[j])), np.tile(stars[j], len(stars[i]))
-            for at in range(0, len(x), 1 << 16):
-                hit = close(f, pivots, x[at : at + (1 << 16)], y[at : at + (1 << 16)])
-                if len(hit):
-                    a.append(x[at + hit[:1]])
-                    b.append(y[at + hit[:1]])
-                    root[find(i)] = find(j)
-                    break
+    for i, j in zip(np.concatenate(x).tolist() if x else [], np.concatenate(y).tolist() if y else []):
+        if find(i) == find(j):
+            continue
+        big, small = sorted((stars[i], stars[j]), key=len, reverse=True)
+        # a member nearer to the other star's leader than two radii at most can touch that star
+        small = small[np.bitwise_count(f[small] ^ f[big[0]]).sum(1, dtype=np.int32) <= 2 * RADIUS]
+        big = big[np.bitwise_count(f[big] ^ f[(stars[i] if len(stars[i]) <= len(stars[j]) else stars[j])[0]]).sum(1, dtype=np.int32) <= 2 * RADIUS]
+        step = max(1, (1 << 16) // max(len(big), 1))
+        for at in range(0, len(small) if len(big) else 0, step):
+            p, q = np.repeat(small[at : at + step], len(big)), np.tile(big, len(small[at : at + step]))
+            hit = close(f, pivots, p, q)
+            if len(hit):
+                a.append(p[hit[:1]])
+                b.append(q[hit[:1]])
+                root[find(i)] = find(j)
+                break
     return np.concatenate(a), np.concatenate(b)
 
 
@@ -227,8 +250,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 keep = pa.array(some)
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), *(signed(np.ascontiguousarray(f[some, w])) for w in range(WORDS))], ["doc_id", *FINGERPRINT])
 
-    schema = "doc_id bigint, " + ", ".join(f"{c} bigint" for c in FINGERPRINT)
-    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint"), F.lower("text").alias("text")).mapInArrow(run, schema)
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{c} bigint" for c in FINGERPRINT)
+    return docs.where("doc_id is not null and text is not null").select("doc_id", F.lower("text").alias("text")).mapInArrow(run, schema)
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -236,18 +259,27 @@ def groups(docs: DataFrame) -> DataFrame:
 
     Texts that are null, empty or without a letter or digit, and rows with a null doc_id, have no
     near-duplicates. Rows that share a doc_id are one document: they are listed, each, only if another
-    doc_id is in their group, and are kept together. Other columns are ignored.
+    doc_id is in their group, and are kept together. Ids of any type that can be sorted will do. Other
+    columns are ignored; an empty table gives an empty result.
     """
-    prints = materialize(fingerprints(docs))
+    return with_numbers(fingerprints(docs), "doc_id", _groups, "group_id")
+
+
+def _groups(prints: DataFrame) -> DataFrame:
+    prints = materialize(prints)
     same = materialize(prints.groupBy(*FINGERPRINT).agg(F.min("doc_id").alias("rep")))
-    parts = partitions(docs.sparkSession)
+    n = same.count()
+    size, orders = plan(n)
+    #: Orders of bits whose buckets are gathered at once.
+    at_once = max(1, 32 // (BITS // size))
+    parts = max(partitions(prints.sparkSession), -(-n * at_once * (BITS // size) * RECORD.itemsize // HELD))
 
     def spread(orders: range) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             packer = Packer(parts)
             for batch in batches:
                 f = np.stack([batch.column(w).to_numpy().view(np.uint64) for w in range(WORDS)], axis=1) if batch.num_rows else np.zeros((0, WORDS), np.uint64)
-                for key in block_keys(f, orders):
+                for key in block_keys(f, orders, size):
                     r = np.zeros(len(f), RECORD)
                     r["key"], r["id"], r["f"] = key, batch.column(WORDS).to_numpy(), f
                     yield from packer.add(key, r)
@@ -256,11 +288,12 @@ def groups(docs: DataFrame) -> DataFrame:
         return run
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = bucket_edges(unpack(batches, RECORD))
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        for records in unpacked(batches, RECORD):
+            a, b = bucket_edges(records)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    some = [range(s, min(s + AT_ONCE, SHUFFLES)) for s in range(0, SHUFFLES, AT_ONCE)]
-    edges = [materialize(exchange(same.mapInArrow(spread(s), BLOB_SCHEMA)).mapInArrow(join, "a bigint, b bigint")) for s in some]
+    some = [range(s, min(s + at_once, orders)) for s in range(0, orders, at_once)]
+    edges = [materialize(exchange(same.mapInArrow(spread(s), BLOB_SCHEMA), parts).mapInArrow(join, "a bigint, b bigint")) for s in some]
     roots = connected_components(functools.reduce(DataFrame.unionByName, edges))
     within = prints.join(same, FINGERPRINT).join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     named = within.select("doc_id", F.coalesce("root", "rep").alias("group_id"))
@@ -269,7 +302,11 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, without the documents that groups() doesn't keep."""
+    """The rows of docs, with all their columns, without the documents that groups() doesn't keep.
+
+    Rows with a null doc_id or without a word stay, and so does every row of an id that is kept. An empty table
+    gives an empty result.
+    """
     gone = groups(docs).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
@@ -288,13 +325,12 @@ def _sql() -> str:
         return f"{one} AS f{w}"
 
     distance = " + ".join(f"bit_count(xor(a.f{w}, b.f{w}))::INTEGER" for w in range(WORDS))
-    shared = " OR ".join(f"(xor(a.f{w}, b.f{w}) & {m}::UBIGINT) = 0" for w, m in MASKS)
     return rf"""
 WITH RECURSIVE t AS (SELECT DISTINCT r, doc_id, unnest(regexp_extract_all(lower(text), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')) AS t
                      FROM (SELECT row_number() OVER () AS r, * FROM documents) WHERE doc_id IS NOT NULL),
 h AS (SELECT r, doc_id, {", ".join(map(word, range(WORDS)))} FROM t),
 p AS (SELECT r, doc_id, {", ".join(map(bits, range(WORDS)))} FROM h GROUP BY r, doc_id),
-e AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM p a, p b WHERE a.doc_id <> b.doc_id AND {distance} <= {RADIUS} AND ({shared})),
+e AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM p a, p b WHERE a.doc_id <> b.doc_id AND {distance} <= {RADIUS}),
 c AS (SELECT x AS node, x AS root FROM e UNION SELECT c.node, e.y FROM c JOIN e ON c.root = e.x),
 g AS (SELECT node, min(root) AS root FROM c GROUP BY node)
 SELECT p.doc_id, g.root AS group_id, p.doc_id = g.root AS kept FROM p JOIN g ON p.doc_id = g.node
