@@ -1,14 +1,16 @@
 """Fuzzy line dedup by MinHash.
 
-A line's shingles are its runs of `SHINGLE` characters, taken as UTF-8 bytes with ASCII capitals made
-small. One-permutation MinHash gives `BANDS` x `ROWS` bins; lines that agree in all bins of a
-band, after each empty bin has borrowed from the next full one, are candidates. All members of a
-band's bucket are brought together with their text and joined where the exact Jaccard
-similarity of their shingle sets is at least `SIMILAR`; distributed union-find over these edges gives
-the components, and the first line of each by (doc_id, line number) stays.
-
-Equal lines are collapsed by a 64-bit hash before the bands. At a similarity of 0.8 a pair is a
-candidate with probability 0.95, at 0.85 with 0.99; in a bucket nothing is lost, see joined().
+A line's shingles are its runs of `SHINGLE` characters, ASCII capitals made small. One-permutation
+MinHash gives `BANDS` x `ROWS` bins; lines that agree in all bins of a band, after each empty bin has
+borrowed from the next full one, are candidates. All members of a band's bucket are brought together
+with their text and joined where the exact Jaccard similarity of their shingle sets is at least
+`SIMILAR`; distributed union-find over these edges gives the components, and the first line of each by
+(doc_id, line number) stays.
+
+Equal lines are collapsed by a 64-bit hash before the bands (a polynomial modulo 2**64, for which unequal
+lines of one hash can be made on purpose). At a similarity of 0.8 a pair is a candidate with probability
+0.95, at 0.85 with 0.99; in a bucket nothing is lost, see joined(). A bucket of more than `HOT` lines is
+cut into chunks by a hash of the line, and every two chunks meet in a task of their own.
 """
 
 from __future__ import annotations
@@ -20,21 +22,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm.common import BLOB_SCHEMA, Packer, Roller, connected_components, exchange, materialize, mix, partitions, runs, table, text_slices, unpack
+from sigspark.llm.common import BLOB_SCHEMA, Packer, Roller, connected_components, exchange, free_name, materialize, mix, parts_of, runs, table, text_slices, unpacked, with_numbers
 
 SHINGLE = 5
 BANDS, ROWS = 10, 6
 SIMILAR = 0.8
-#: Bits of the filter through which candidates pass on their way to their texts; its size is fixed.
-FILTER_BITS = 1 << 24
+#: Lines of a bucket that one task looks at together, but for as many again.
+HOT = 5000
+#: Bits of the filter through which candidates pass on their way to their texts: 8 for each, within these bounds. Past the larger one more lines travel.
+FILTER_BITS = (1 << 20, 1 << 26)
+#: Lines that a task remembers to have sent.
+REMEMBERED = 1 << 19
 
 _BINS = BANDS * ROWS
 _NONE = np.uint32(0xFFFFFFFF)
 _rng = np.random.default_rng(20240611)
 _WEIGHTS = (_rng.integers(0, 1 << 62, (BANDS, ROWS)) * 2 + 1).astype(np.uint64)
 _SMALL = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
-#: Shingles are read as 8 bytes, of which those of the shingle stay.
-_KEPT = np.uint64((1 << 8 * SHINGLE) - 1)
+_PLACES = (_rng.integers(0, 1 << 62, SHINGLE) * 2 + 1).astype(np.uint64)
 MEMBER = np.dtype([("key", "<u8"), ("line", "<u8")])
 
 
@@ -52,6 +57,20 @@ def line_spans(x: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return start[some], end[some], text[some], number[some]
 
 
+def characters(x: np.ndarray) -> np.ndarray:
+    """Code points of UTF-8."""
+    return x if not len(x) or x.max() < 128 else np.frombuffer(x.tobytes().decode().encode("utf-32-le"), np.uint32)
+
+
+def shingle_codes(points: np.ndarray) -> np.ndarray:
+    """A number for the shingle that begins at each character; equal ones differ by chance only."""
+    n = max(len(points) - SHINGLE + 1, 0)
+    wide, out = points.astype(np.uint64), np.zeros(n, np.uint64)
+    for i, weight in enumerate(_PLACES):
+        out += wide[i : i + n] * weight
+    return out
+
+
 class Lines:
     """The lines of a slice of texts."""
 
@@ -63,15 +82,20 @@ class Lines:
         self.start, self.end, self.text, self.number = line_spans(self.x, offsets)
         self.roller.load(self.x.astype(np.uint64) + np.uint64(1))
         self.hash = self.roller.of(self.start, self.end)
+        self.points = characters(self.x)
+        self.first, self.last = self.start, self.end  # in characters
+        if len(self.points) < len(self.x):
+            before = np.r_[0, np.cumsum((self.x & 0xC0) != 0x80)]
+            self.first, self.last = before[self.start], before[self.end]
 
 
-def signatures(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def signatures(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """(lines, bins) of minima; every line must have a shingle."""
     size = end - start - (SHINGLE - 1)
     line = np.repeat(np.arange(len(start), dtype=np.int64), size)
     at = np.arange(len(line)) + np.repeat(start - (np.cumsum(size) - size), size)
-    padded = np.r_[x, np.zeros(8 - SHINGLE, np.uint8)]
-    h = np.ndarray((len(x) - SHINGLE + 1,), "<u8", padded.data, strides=(1,))[at] & _KEPT
+    h = shingle_codes(points)[at]
+    h ^= h >> np.uint64(32)
     h *= np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
@@ -102,10 +126,7 @@ def band_keys(sig: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def shingles(text: bytes) -> set[int]:
-    if len(text) < SHINGLE:
-        return set()
-    padded = text + bytes(8 - SHINGLE)
-    return set((np.ndarray((len(text) - SHINGLE + 1,), "<u8", padded, strides=(1,)) & _KEPT).tolist())
+    return set(shingle_codes(characters(np.frombuffer(text, np.uint8))).tolist())
 
 
 def joined(sets: list[set[int]]) -> list[tuple[int, int]]:
@@ -155,18 +176,48 @@ def joined(sets: list[set[int]]) -> list[tuple[int, int]]:
     return edges
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+def _slots(h: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(h) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _filter(found: DataFrame, bits: int) -> np.ndarray:
+    """Packed bits of the slots of these lines."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = np.zeros(bits >> 3, np.uint8)
+        for batch in batches:
+            slot = _slots(batch.column(0).to_numpy().view(np.uint64), bits)
+            np.bitwise_or.at(packed, slot >> 3, (128 >> (slot & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(64, dtype=np.int32)), pa.array([p.tobytes() for p in packed.reshape(64, -1)], pa.binary())], ["n", "bits"])
+
+    def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for n, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held[n] = held.get(n, np.uint8(0)) | np.frombuffer(b, np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([b.tobytes() for b in held.values()], pa.binary())], ["n", "bits"])
 
+    marks = found.select("line").mapInArrow(mark, "n int, bits binary").repartition("n").mapInArrow(either, "n int, bits binary")
+    seen = np.zeros((64, bits >> 9), np.uint8)
+    for n, b in marks.collect():  # `bits` bits in all
+        seen[n] = np.frombuffer(b, np.uint8)
+    return seen.ravel()
 
-def _slots(h: np.ndarray) -> np.ndarray:
-    return (mix(h) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
 
+def chunk_pairs(found: DataFrame, hot: int = HOT) -> DataFrame:
+    """bucket, line, cell: rows of one bucket and cell meet. Buckets of at most `hot` lines have one cell; in others every two chunks have one."""
+    sizes = found.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("bucket", F.ceil(F.col("n") / hot).cast("int").alias("chunks"))
+    every = F.sequence(F.lit(0), F.col("chunks") - 1)
+    mine = F.pmod(F.xxhash64("line"), F.col("chunks")).cast("int")
+    cells = F.transform(every, lambda j: F.least(mine, j) * F.col("chunks") + F.greatest(mine, j))
+    placed = found.join(sizes, "bucket", "left")
+    return placed.select("bucket", "line", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(cells)).alias("cell"))
 
-def _edges(rows: DataFrame) -> DataFrame:
+
+def _edges(rows: DataFrame, hot: int) -> DataFrame:
     """(a, b): hashes of lines that are similar."""
     spark = rows.sparkSession
-    parts = partitions(spark)
+    parts = parts_of(rows)
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, lines = Packer(parts), Lines()
@@ -174,63 +225,50 @@ def _edges(rows: DataFrame) -> DataFrame:
             for _, data, offsets in text_slices(batch.column(0)):
                 lines.load(data, offsets)
                 _, one = np.unique(lines.hash, return_index=True)
-                one = np.sort(one[lines.end[one] - lines.start[one] >= SHINGLE])
+                one = np.sort(one[lines.last[one] - lines.first[one] >= SHINGLE])
                 if not len(one):
                     continue
-                for key in band_keys(signatures(lines.x, lines.start[one], lines.end[one])):
+                for key in band_keys(signatures(lines.points, lines.first[one], lines.last[one])):
                     r = np.zeros(len(key), MEMBER)
                     r["key"], r["line"] = key, lines.hash[one]
                     yield from packer.add(key, r)
         yield from packer.flush()
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = unpack(batches, MEMBER)
-        m = m[np.lexsort((m["line"], m["key"]))]
-        if len(m):
-            m = m[np.r_[True, m[1:] != m[:-1]]]
-        starts, ends = runs(m["key"])
-        many = ends - starts > 1
-        starts, ends = starts[many], ends[many]
-        if not len(starts):
-            return
-        size = ends - starts
-        at = np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        line = m["line"][at]
-        # a bucket is named by its members, so that the same set from several bands is looked at once
-        name = mix(np.add.reduceat(mix(line ^ np.uint64(0xA5A5A5A5A5A5A5A5)), np.cumsum(size) - size) + size.astype(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, size).view(np.int64)), pa.array(np.ascontiguousarray(line).view(np.int64))], ["bucket", "line"])
-
-    found = exchange(rows.select("text").mapInArrow(bands, BLOB_SCHEMA)).mapInArrow(buckets, "bucket bigint, line bigint")
+        for m in unpacked(batches, MEMBER):
+            m = m[np.lexsort((m["line"], m["key"]))]
+            if len(m):
+                m = m[np.r_[True, m[1:] != m[:-1]]]
+            starts, ends = runs(m["key"])
+            many = ends - starts > 1
+            starts, ends = starts[many], ends[many]
+            if not len(starts):
+                continue
+            size = ends - starts
+            at = np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            line = m["line"][at]
+            # a bucket is named by its members, so that the same set from several bands is looked at once
+            name = mix(np.add.reduceat(mix(line ^ np.uint64(0xA5A5A5A5A5A5A5A5)), np.cumsum(size) - size) + size.astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, size).view(np.int64)), pa.array(np.ascontiguousarray(line).view(np.int64))], ["bucket", "line"])
+
+    found = exchange(rows.select("text").mapInArrow(bands, BLOB_SCHEMA), parts).mapInArrow(buckets, "bucket bigint, line bigint")
     found = materialize(found.groupBy("bucket", "line").agg(F.lit(1).alias("one")).select("bucket", "line"))
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
-        for batch in batches:
-            bits[_slots(batch.column(0).to_numpy().view(np.uint64))] = True
-        packed = np.packbits(bits).reshape(64, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(64, dtype=np.int32)), pa.array([p.tobytes() for p in packed], pa.binary())], ["n", "bits"])
-
-    def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for n, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held[n] = held.get(n, np.uint8(0)) | np.frombuffer(b, np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([b.tobytes() for b in held.values()], pa.binary())], ["n", "bits"])
-
-    marks = found.select("line").mapInArrow(mark, "n int, bits binary").repartition("n").mapInArrow(either, "n int, bits binary")
-    seen = np.zeros((64, FILTER_BITS // 512), np.uint8)
-    for n, b in marks.collect():  # FILTER_BITS bits in all
-        seen[n] = np.frombuffer(b, np.uint8)
-    sent = spark.sparkContext.broadcast(seen.ravel())
+    low, high = FILTER_BITS
+    bits = min(high, max(low, 1 << (8 * found.count()).bit_length()))
+    sent = spark.sparkContext.broadcast(_filter(found, bits))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines, wanted = Lines(), sent.value
+        lines, wanted, before = Lines(), sent.value, set()
         for batch in batches:
             for _, data, offsets in text_slices(batch.column(0)):
                 lines.load(data, offsets)
                 h, one = np.unique(lines.hash, return_index=True)
-                slot = _slots(h)
-                hit = ((wanted[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1).astype(bool) & (lines.end[one] - lines.start[one] >= SHINGLE)
+                slot = _slots(h, bits)
+                hit = np.flatnonzero(((wanted[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1).astype(bool) & (lines.last[one] - lines.first[one] >= SHINGLE))
+                hit = hit[[x not in before for x in h[hit].tolist()]]
+                if len(before) > REMEMBERED:
+                    before.clear()
+                before.update(h[hit].tolist())
                 whole = lines.x.tobytes()
                 texts = [whole[a:b] for a, b in zip(lines.start[one[hit]].tolist(), lines.end[one[hit]].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(h[hit].view(np.int64)), pa.array(texts, pa.binary())], ["line", "content"])
@@ -244,35 +282,39 @@ def _edges(rows: DataFrame) -> DataFrame:
         now, members = None, {}
         for batch in batches:
             a, b = [], []
-            for bucket, line, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if bucket != now:
+            for bucket, cell, line, content in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if (bucket, cell) != now:
                     if len(members) > 1:
                         x, y = solve(members)
                         a += x
                         b += y
-                    now, members = bucket, {}
+                    now, members = (bucket, cell), {}
                 members[line] = content
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
         if len(members) > 1:
             x, y = solve(members)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
-    texts = rows.select("text").mapInArrow(fetch, "line bigint, content binary")
-    met = found.join(texts, "line").select("bucket", "line", "content")
-    return met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(verify, "a bigint, b bigint")
+    texts = rows.select("text").mapInArrow(fetch, "line bigint, content binary").dropDuplicates(["line"])
+    met = chunk_pairs(found, hot).join(texts, "line").select("bucket", "cell", "line", "content")
+    return met.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell").mapInArrow(verify, "a bigint, b bigint")
 
 
-def duplicates(docs: DataFrame) -> DataFrame:
+def duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, line, group_doc, group_line, kept: every line that is like another.
 
     Lines are parted by line feeds and numbered from 0; blank ones are never listed. Lines shorter
     than a shingle are like equal ones only. group_doc and group_line name the first line of the
     group by (doc_id, line), which is kept. Null texts and rows with a null doc_id have no lines. Rows
     that share a doc_id are one document: a place that occurs in several is listed for each, and is no copy of
-    itself. Other columns are ignored; an empty table gives an empty result.
+    itself. Ids of any type that can be sorted will do. Other columns are ignored; an empty table gives an
+    empty result.
     """
-    rows = _rows(docs)
-    roots = connected_components(_edges(rows))
+    return with_numbers(docs.where("text is not null").select("doc_id", "text"), "doc_id", lambda rows: _duplicates(rows, hot), "group_doc")
+
+
+def _duplicates(rows: DataFrame, hot: int) -> DataFrame:
+    roots = connected_components(_edges(rows, hot))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines = Lines()
@@ -294,19 +336,20 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     """docs with all their columns, without the lines that duplicates() doesn't keep; n_chars follows the text.
 
     A row goes if it had a line that isn't blank and has none left. Rows without doc_id or text stay as they are.
+    Repeated rows stay or go alike. An empty table gives an empty result.
     """
-    gone = duplicates(docs).where("not kept").groupBy(F.col("doc_id").alias("gone_doc")).agg(F.collect_set(F.col("line").cast("int")).alias("gone_lines"))
-    taken = {c: f"{c}__" for c in docs.columns if c.startswith("gone_")}
-    own = docs.withColumnsRenamed(taken)
-    both = own.join(gone, own["doc_id"].cast("bigint") == gone["gone_doc"], "left")
+    names = docs.columns
+    owner, lost = free_name(names, "gone_doc"), free_name(names, "gone_lines")
+    gone = duplicates(docs).where("not kept").groupBy(F.col("doc_id").alias(owner)).agg(F.collect_set(F.col("line").cast("int")).alias(lost))
+    both = docs.join(gone, docs["doc_id"] == gone[owner], "left")
     every = F.split("text", "\n", -1)
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(every) - 1), F.col("gone_lines")), lambda i: F.get(every, i))
-    text = F.when(F.col("gone_lines").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    both = both.withColumn("text", text).where(F.col("gone_lines").isNull() | F.col("text").rlike(r"[^\x00-\x20]"))
-    if "n_chars" in own.columns:
-        n = F.when(F.col("gone_lines").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(own.schema["n_chars"].dataType))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(every) - 1), F.col(lost)), lambda i: F.get(every, i))
+    text = F.when(F.col(lost).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    both = both.withColumn("text", text).where(F.col(lost).isNull() | F.col("text").rlike(r"[^\x00-\x20]"))
+    if "n_chars" in names:
+        n = F.when(F.col(lost).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
         both = both.withColumn("n_chars", n)
-    return both.select(*own.columns).withColumnsRenamed({b: a for a, b in taken.items()})
+    return both.select(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
