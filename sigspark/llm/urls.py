@@ -20,9 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm.common import Roller, table, text_slices, word_spans
+from sigspark.llm.common import Roller, materialize, table, text_slices, word_spans
 
-LONGEST = 24
+#: Letters that a label of a host has at most.
+LABEL = 63
 ALPHA = 1.0
 NUMBER = "#"
 #: Words that a task holds before it hands them on.
@@ -32,7 +33,7 @@ _LETTERS = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word, n: how often each word of at most LONGEST letters a to z occurs. Words with other letters don't count."""
+    """word, n: how often each word, a run of letters a to z and of all longer characters, occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller, held = Roller(0x9E3779B97F4A7C15), {}
@@ -44,10 +45,6 @@ def word_counts(docs: DataFrame) -> DataFrame:
             for _, data, offsets in text_slices(batch.column(0)):
                 x = _LETTERS[data]
                 start, end, _ = word_spans(x, offsets)
-                foreign = np.zeros(len(x) + 1, np.int32)
-                np.cumsum(x > 127, out=foreign[1:])
-                mine = (end - start <= LONGEST) & (foreign[end] == foreign[start])
-                start, end = start[mine], end[mine]
                 roller.load(x.astype(np.uint64))
                 _, one, n = np.unique(roller.of(start, end), return_index=True, return_counts=True)
                 whole = x.tobytes()
@@ -59,7 +56,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 held.clear()
         yield flush()
 
-    return docs.where("text is not null").select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.where("text is not null").select(F.lower("text").alias("text")).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def viterbi(label: str, counts: dict[str, int], total: int) -> list[str]:
@@ -68,18 +65,20 @@ def viterbi(label: str, counts: dict[str, int], total: int) -> list[str]:
     A word that doesn't occur has the probability 10 / (total * 10 ** length), as one too rare to be seen.
     """
     best: list[tuple[float, int, int]] = [(0.0, 0, 0)]
-    base = math.log(max(total, 1))
+    unseen: tuple[float, int, int] = (-math.inf, 0, 0)  # the best split whose last word doesn't occur
+    base, longest = math.log(max(total, 1)), max(map(len, counts), default=0)
     for i in range(1, len(label) + 1):
-        options = []
-        for j in range(max(0, i - LONGEST), i):
-            n = counts.get(label[j:i], 0)
-            one = math.log(n) - base if n else math.log(10) * (1 - (i - j)) - base
-            options.append((best[j][0] + one, -best[j][1] - 1, -j))
-        score, words, at = max(options)
-        best.append((score, -words, -at))
+        score, words, at = best[i - 1]
+        unseen = max((unseen[0] - math.log(10), unseen[1], unseen[2]), (score - base, words - 1, 1 - i))
+        options = [unseen]
+        for j in range(max(0, i - longest), i):
+            n = counts.get(label[j:i])
+            if n:
+                options.append((best[j][0] + math.log(n) - base, best[j][1] - 1, -j))
+        best.append(max(options))
     out, i = [], len(label)
     while i:
-        j = best[i][2]
+        j = -best[i][2]
         out.append(label[j:i])
         i = j
     return out[::-1]
@@ -94,24 +93,23 @@ def _path(url: Column) -> Column:
 
 
 def segment(labels: DataFrame, counts: DataFrame) -> DataFrame:
-    """label, words for every distinct label of the column `label`; an empty one has no words."""
+    """label, words for every distinct label of the column `label`; an empty one has no words, one of more than LABEL letters is a word."""
     total = counts.agg(F.sum("n")).first()[0] or 0
     labels = labels.where("label is not null").select("label").distinct()
-    spots = F.sequence(F.lit(1), F.length("label"))
-    ends = labels.where("length(label) > 0").select("label", F.explode(spots).alias("i"))
-    parts = ends.select("label", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("label") - F.col("i") + 1)), lambda k: F.substring("label", F.col("i"), k))).alias("word")).distinct()
+    ends = labels.where(F.length("label").between(1, LABEL)).select("label", F.explode(F.sequence(F.lit(1), F.length("label"))).alias("i"))
+    parts = ends.select("label", F.explode(F.transform(F.sequence(F.lit(1), F.length("label") - F.col("i") + 1), lambda k: F.substring("label", F.col("i"), k))).alias("word")).distinct()
     found = parts.join(counts, "word").groupBy("label").agg(F.collect_list(F.struct("word", "n")).alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [viterbi(label, {w["word"]: w["n"] for w in seen or ()}, total) for label, seen in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            words = [viterbi(label, {w["word"]: w["n"] for w in seen or ()}, total) if len(label) <= LABEL else [label] for label, seen in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], ["label", "words"])
 
     return labels.join(found, "label", "left").select("label", "found").mapInArrow(run, "label string, words array<string>")
 
 
 def url_tokens(pages: DataFrame, counts: DataFrame) -> DataFrame:
-    """row, page_id, host, words, tokens, linked of every page; tokens are words of the host and parts of the path.
+    """page_id, url, host, words, tokens, linked of every page; tokens are words of the host and parts of the path.
 
     Path parts are runs of letters and digits, in small letters; runs of digits alone are NUMBER. `linked` is the
     last number of the path. A null url has a null host, no words and no tokens.
@@ -119,13 +117,13 @@ def url_tokens(pages: DataFrame, counts: DataFrame) -> DataFrame:
     path = _path(F.col("url"))
     raw = F.filter(F.split(F.lower(path), r"[^\p{L}\p{N}]+"), lambda t: t != "")
     tokens = F.transform(raw, lambda t: F.when(t.rlike(r"^\p{N}+$"), F.lit(NUMBER)).otherwise(t))
-    digits = F.regexp_extract(path, r"(?s)^.*?(?<![0-9])([0-9]{1,18})(?![0-9])[^0-9]*$", 1)
+    digits = F.regexp_extract(path, r"(?s)^.*?(?<![0-9])([0-9]{1,19})(?![0-9])[^0-9]*$", 1)
     rows = pages.select(
         "page_id",
         "url",
         _host(F.col("url")).alias("host"),
         F.coalesce(tokens, F.array().cast("array<string>")).alias("path"),
-        F.when(digits != "", digits).cast("bigint").alias("linked"),
+        F.when(digits != "", digits).try_cast("bigint").alias("linked"),
     )
     rows = rows.withColumn("labels", F.filter(F.split("host", r"[.-]+"), lambda t: t != ""))
     hosts = rows.where("host is not null").select("host", "labels").distinct()
@@ -144,7 +142,8 @@ def filter_urls(pages: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFra
     both classes every score is 0. A doc_id labelled several times counts once, with its lowest quality; null
     labels don't count. Repeated rows stay. Other columns are ignored; an empty table gives an empty result.
     """
-    tokens = url_tokens(pages, word_counts(docs))
+    # both are read several times
+    tokens = materialize(url_tokens(pages, materialize(word_counts(docs))))
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("bigint").alias("linked")).agg((F.min("quality") == 0).alias("low"))
     taught = tokens.where("linked is not null").join(known, "linked").select("low", "tokens")
     marks = taught.agg(F.count_if("low").alias("low"), F.count_if(~F.col("low")).alias("high")).first()
