@@ -14,7 +14,7 @@ lattice falls apart there, and the parts are remembered by their text.
 
 from __future__ import annotations
 
-import itertools
+import os
 import re
 from collections.abc import Iterator
 
@@ -37,6 +37,8 @@ def read_pieces(path: str) -> tuple[dict[str, tuple[int, float]], list[bytes | s
     """Ordinary pieces with id and score, and what each id stands for."""
     import sentencepiece
 
+    if not os.path.exists(path):
+        raise FileNotFoundError(f"no SentencePiece model at {path}; encode() and decode() take its path")
     m = sentencepiece.SentencePieceProcessor(model_file=path)
     vocabulary, stands = {}, []
     for i in range(m.get_piece_size()):
@@ -357,7 +359,8 @@ def encode(docs: DataFrame, path: str = MODEL, chunk: int = 1 << 15) -> DataFram
 
     The ids are those of the model's own BPE encoder. A null text has null ids; an empty one has none.
     A text with U+2581 in it decodes to spaces there, so round_trip is false. Repeated rows and null
-    doc_ids stay; texts of any length are encoded whole; other columns are ignored.
+    doc_ids stay; texts of any length are encoded whole; other columns are ignored. An empty table gives an empty
+    result. path: a byte-fallback BPE model, on the driver's disk alone.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(read_pieces(path))

@@ -4,7 +4,7 @@ A linear classifier over hashed words, trained in numpy from confirmed toxic doc
 sample of all documents taken as unlabelled. Its risk is prior * R+(positives) plus
 max(0, R-(unlabelled) - prior * R-(positives)); where that second part would fall below
 `-beta` the step goes the other way, so that positives hidden in the sample are not learned
-as negatives. Both samples are bounded (`positives`, `unlabelled`); scoring covers all rows.
+as negatives. Both samples are bounded (`positives`, `unlabelled`, `most_bytes`); scoring covers all rows.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm.common import Roller, mix, runs, table, text_slices, word_spans
+from sigspark.llm.common import Roller, mix, runs, table, text_slices, within_bytes, word_spans
 
 BITS = 18
 DIM = 1 << BITS
@@ -134,17 +134,21 @@ def fit(texts: pa.Array, positive: np.ndarray, prior: float, least_z: float = 5.
     return Model(w, min(bias, -1e-6))
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = 2000, unlabelled: int = 8000, prior: float | None = None) -> Model:
-    """prior: share of toxic documents; by default that among the labelled ones. No positives: a model that calls nothing toxic."""
+def train(docs: DataFrame, labels: DataFrame, positives: int = 2000, unlabelled: int = 8000, prior: float | None = None, most_bytes: int = 64 << 20) -> Model:
+    """prior: share of toxic documents; by default that among the labelled ones. No positives: a model that calls nothing toxic.
+
+    Both samples are ids in the order of a hash; an id with several texts teaches the first by sorting, and each
+    sample ends where it has `most_bytes` bytes of text. Rows without id, text or label teach nothing.
+    """
     spark = docs.sparkSession
     known = labels.where("toxic is not null and doc_id is not null").select("doc_id", "toxic")
     n, share = known.agg(F.count("*"), F.avg((F.col("toxic") > 0).cast("double"))).first()
     prior = prior if prior is not None else (share or 0.0)
-    order = F.xxhash64("doc_id")
-    chosen = known.where("toxic > 0").select("doc_id").distinct().orderBy(order, "doc_id").limit(positives).withColumn("positive", F.lit(True))
+    chosen = known.where("toxic > 0").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives).withColumn("positive", F.lit(True))
     sample = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(unlabelled).withColumn("positive", F.lit(False))
     rows = spark.createDataFrame(chosen.unionByName(sample).toArrow())  # bounded by the two limits
-    got = docs.where("text is not null").join(F.broadcast(rows), "doc_id").select("doc_id", "positive", F.lower("text").alias("text")).orderBy("positive", "doc_id", "text").toArrow()
+    got = docs.where("text is not null").join(F.broadcast(rows), "doc_id").groupBy("doc_id", "positive").agg(F.min("text").alias("text"))
+    got = within_bytes(got.withColumn("h", F.xxhash64("doc_id")), ["h", "doc_id"], most_bytes, "positive").select("positive", "doc_id", F.lower("text").alias("text")).orderBy("positive", "doc_id").toArrow()
     return fit(got.column("text"), np.array(got.column("positive").to_pylist(), bool), prior)
 
 
