@@ -157,12 +157,13 @@ class Packer:
     A blob holds its records field by field: what repeats from one record to the next compresses.
     """
 
-    def __init__(self, parts: int):
-        self.parts, self.held, self.size = parts, [], 0
+    def __init__(self, parts: int, first: int = 0):
+        """Parts are numbered from `first`."""
+        self.parts, self.first, self.held, self.size = parts, first, [], 0
 
     def add(self, key: np.ndarray, records: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(records):
-            self.held.append(((key % np.uint64(self.parts)).astype(np.int32), records))
+            self.held.append(((key % np.uint64(self.parts)).astype(np.int32) + np.int32(self.first), records))
             self.size += records.nbytes
         if self.size >= FLUSH_BYTES:
             yield from self.flush()
@@ -200,19 +201,24 @@ def unpack(blobs: list[bytes], dtype: np.dtype) -> np.ndarray:
     return out
 
 
-def unpacked(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> Iterator[np.ndarray]:
-    """The records of each part, after exchange()."""
+def blobs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """Number and blobs of each part, after exchange()."""
     now, held = None, []
     for batch in batches:
         for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if part != now and held:
-                records, held = unpack(held, dtype), []
-                yield records
+                whole, held = held, []
+                yield now, whole
             now = part
             held.append(blob)
     if held:
-        records, held = unpack(held, dtype), []
-        yield records
+        yield now, held
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> Iterator[np.ndarray]:
+    """The records of each part, after exchange()."""
+    for _, blobs in blobs_of(batches):
+        yield unpack(blobs, dtype)
 
 
 def runs(*sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm.common import BLOB_SCHEMA, Packer, Roller, exchange, free_name, mix, numbered, parts_of, runs, table, text_slices, unpacked, with_numbers, word_spans
+from sigspark.llm.common import BLOB_SCHEMA, FLUSH_BYTES, Packer, Roller, blobs_of, exchange, free_name, mix, numbered, parts_of, runs, table, text_slices, unpack, unpacked, with_numbers, word_spans
 
 PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
@@ -31,6 +31,10 @@ LENGTH = PERIOD + WINDOW - 1
 _AT = np.isin(np.arange(PERIOD), COVER)
 _BYTES, _WORDS = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 PLACE = np.dtype([("key", "<u8"), ("doc", "<i8"), ("at", "<i4")])
+#: A place that stands for others (many) or for itself.
+SEEN = np.dtype([("key", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("many", "u1")])
+#: A place and its representative; or, first, the source of all that this represents.
+WAITING = np.dtype([("rep", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("waits", "u1")])
 MATCH = np.dtype([("doc", "<i8"), ("at", "<i4"), ("source", "<i8"), ("back", "<i4")])
 
 
@@ -71,14 +75,16 @@ def _places(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _shared(places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different places sorted by (key, doc, at), and starts and ends of the runs of a key that have several."""
+def _shared(places: np.ndarray, least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different places sorted by (key, doc, at), and starts and ends of the runs of a key that have at least so many."""
     places = places[np.lexsort((places["at"], places["doc"], places["key"]))]
     if len(places):
-        new = np.r_[True, places[1:] != places[:-1]]
+        new = np.r_[True, (places["key"][1:] != places["key"][:-1]) | (places["doc"][1:] != places["doc"][:-1]) | (places["at"][1:] != places["at"][:-1])]
+        if "many" in places.dtype.names:
+            places["many"] = np.repeat(np.maximum.reduceat(places["many"], np.flatnonzero(new)), np.diff(np.r_[np.flatnonzero(new), len(new)]))
         places = places[new]
     starts, ends = runs(places["key"])
-    many = ends - starts > 1
+    many = ends - starts >= least
     return places, starts[many], ends[many]
 
 
@@ -87,6 +93,46 @@ def _members(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if len(size) else np.zeros(0, np.int64)
 
 
+class Places:
+    """Collects places by window, and hands on those that several tasks must compare and those that are represented."""
+
+    def __init__(self):
+        self.held, self.size = [], 0
+
+    def add(self, places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        self.held.append(places)
+        self.size += places.nbytes
+        if self.size >= FLUSH_BYTES:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(representatives, represented places, number of the representative of each)."""
+        if self.held:
+            places, starts, ends = _shared(np.concatenate(self.held), 1)
+            self.held, self.size = [], 0
+            seen = np.zeros(len(starts), SEEN)
+            for f in ("key", "doc", "at"):
+                seen[f] = places[f][starts]
+            seen["many"] = ends - starts > 1
+            yield seen, places[_members(starts + 1, ends)], np.repeat(np.arange(len(starts)), ends - starts - 1)
+
+
+def _rep(seen: np.ndarray) -> np.ndarray:
+    return mix(seen["key"] + mix(seen["doc"].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + seen["at"].astype(np.uint64)))
+
+
+def _waiting(rep: np.ndarray, doc: np.ndarray, at: np.ndarray, waits: int) -> np.ndarray:
+    out = np.zeros(len(rep), WAITING)
+    out["rep"], out["doc"], out["at"], out["waits"] = rep, doc, at, waits
+    return out
+
+
+def _matches(places: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(places), MATCH)
+    out["doc"], out["at"], out["source"], out["back"] = places["doc"], places["at"], doc, places["at"] - at
+    return out[np.lexsort((out["at"], out["doc"]))]
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, start, n_words, source_id, source_start: passages of at least 50 words that occur earlier.
 
@@ -106,31 +152,50 @@ def _repeats(rows: DataFrame) -> DataFrame:
     parts = parts_of(rows)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, words = Packer(parts), Words()
+        places, alone, met, words = Places(), Packer(parts), Packer(parts, parts), Words()
+
+        def hand(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            for seen, others, of in found:
+                yield from alone.add(seen["key"], seen)
+                # what occurs twice here needs no other task to tell
+                twice = np.concatenate([_places(seen["key"], seen["doc"], seen["at"])[seen["many"] > 0], others])
+                yield from met.add(mix(twice["doc"].view(np.uint64)), twice)
+
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for row, data, offsets in text_slices(batch.column(1)):
                 words.load(data, offsets)
                 count = words.count[words.text]
                 at = np.flatnonzero(_AT[words.number % PERIOD] & (words.number + WINDOW <= count) & (count >= LENGTH))
-                key = words.hashes(at, WINDOW)
-                yield from packer.add(key, _places(key, ids[row + words.text[at]], words.number[at]))
-        yield from packer.flush()
+                yield from hand(places.add(_places(words.hashes(at, WINDOW), ids[row + words.text[at]], words.number[at])))
+        yield from hand(places.flush())
+        yield from alone.flush()
+        yield from met.flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in unpacked(batches, PLACE):
-            places, starts, ends = _shared(found)
-            hit = places[_members(starts, ends)]
+        for part, blobs in blobs_of(batches):
+            if part < parts:
+                places, starts, ends = _shared(unpack(blobs, SEEN))
+                hit = places[_members(starts, ends)]
+            else:
+                hit = unpack(blobs, PLACE)
             hit = hit[np.lexsort((hit["at"], hit["doc"]))]
             first, last = runs(hit["doc"])
             lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(hit)].astype(np.int32) if len(first) else np.zeros(1, np.int32)), pa.array(np.ascontiguousarray(hit["at"])))
             yield pa.RecordBatch.from_arrays([pa.array(hit["doc"][first]), lists], ["doc", "ats"])
 
-    met = exchange(rows.mapInArrow(anchors, BLOB_SCHEMA), parts).mapInArrow(meet, "doc bigint, ats array<int>")
+    met = exchange(rows.mapInArrow(anchors, BLOB_SCHEMA), 2 * parts).mapInArrow(meet, "doc bigint, ats array<int>")
     met = met.groupBy("doc").agg(F.flatten(F.collect_list("ats")).alias("ats"))
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, words = Packer(parts), Words()
+        places, alone, waiting, words = Places(), Packer(parts), Packer(parts, parts), Words()
+
+        def hand(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            for seen, others, of in found:
+                yield from alone.add(seen["key"], seen)
+                rep = _rep(seen)[of]
+                yield from waiting.add(rep, _waiting(rep, others["doc"], others["at"], 1))
+
         for batch in batches:
             ids = batch.column(0).to_numpy()
             lists = batch.column(2)
@@ -148,27 +213,51 @@ def _repeats(rows: DataFrame) -> DataFrame:
                 np.add.at(wanted, base + low[some], 1)
                 np.add.at(wanted, base + high[some], -1)
                 at = np.flatnonzero(np.cumsum(wanted)[:-1] > 0)
-                key = words.hashes(at, LENGTH)
-                yield from packer.add(key, _places(key, ids[row + words.text[at]], words.number[at]))
-        yield from packer.flush()
+                yield from hand(places.add(_places(words.hashes(at, LENGTH), ids[row + words.text[at]], words.number[at])))
+        yield from hand(places.flush())
+        yield from alone.flush()
+        yield from waiting.flush()
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(parts)
-        for found in unpacked(batches, PLACE):
-            places, starts, ends = _shared(found)
-            later = _members(starts + 1, ends)
-            origin = places[np.repeat(starts, ends - starts - 1)]
-            out = np.zeros(len(later), MATCH)
-            out["doc"], out["at"], out["source"] = places["doc"][later], places["at"][later], origin["doc"]
-            out["back"] = out["at"] - origin["at"]
-            out = out[np.lexsort((out["at"], out["doc"]))]
-            for at in range(0, len(out), 1 << 20):
-                yield from packer.add(mix(out["doc"][at : at + (1 << 20)].view(np.uint64)), out[at : at + (1 << 20)])
-        yield from packer.flush()
+        waiting, matches = Packer(parts), Packer(parts, parts)
+        for part, blobs in blobs_of(batches):
+            if part >= parts:
+                w = unpack(blobs, WAITING)
+                yield from waiting.add(w["rep"], w)
+                continue
+            places, starts, ends = _shared(unpack(blobs, SEEN), 1)
+            origin = np.repeat(starts, ends - starts)
+            later = np.flatnonzero(origin != np.arange(len(places)))
+            made = _matches(places[later], places["doc"][origin[later]], places["at"][origin[later]])
+            for at in range(0, len(made), 1 << 20):
+                yield from matches.add(mix(made["doc"][at : at + (1 << 20)].view(np.uint64)), made[at : at + (1 << 20)])
+            many = np.flatnonzero(places["many"])
+            rep = _rep(places[many])
+            yield from waiting.add(rep, _waiting(rep, places["doc"][origin[many]], places["at"][origin[many]], 0))
+        yield from waiting.flush()
+        yield from matches.flush()
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matches = Packer(parts)
+        for part, blobs in blobs_of(batches):
+            if part >= parts:
+                made = unpack(blobs, MATCH)
+            else:
+                w = unpack(blobs, WAITING)
+                w = w[np.lexsort((w["waits"], w["rep"]))]
+                starts, ends = runs(w["rep"])
+                origin = np.repeat(starts, ends - starts)
+                waits = w["waits"] > 0
+                made = _matches(w[waits], w["doc"][origin[waits]], w["at"][origin[waits]])
+            for at in range(0, len(made), 1 << 20):
+                yield from matches.add(mix(made["doc"][at : at + (1 << 20)].view(np.uint64)), made[at : at + (1 << 20)])
+        yield from matches.flush()
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for m in unpacked(batches, MATCH):
             m = m[np.lexsort((m["at"], m["back"], m["source"], m["doc"]))]
+            same = (m["doc"][1:] == m["doc"][:-1]) & (m["at"][1:] == m["at"][:-1])
+            m = m[np.r_[True, ~same]] if len(m) else m  # a row that is there several times
             starts, ends = runs(m["doc"], m["source"], m["back"], m["at"] - np.arange(len(m)))
             head = m[starts]
             yield pa.RecordBatch.from_arrays(
@@ -177,8 +266,9 @@ def _repeats(rows: DataFrame) -> DataFrame:
             )
 
     texts = rows.join(met, rows["doc_id"] == met["doc"]).select("doc_id", "text", "ats")
-    windows = exchange(texts.mapInArrow(extend, BLOB_SCHEMA), parts).mapInArrow(first, BLOB_SCHEMA)
-    return exchange(windows, parts).mapInArrow(passages, "doc_id bigint, start bigint, n_words bigint, source_id bigint, source_start bigint")
+    windows = exchange(texts.mapInArrow(extend, BLOB_SCHEMA), 2 * parts).mapInArrow(first, BLOB_SCHEMA)
+    found = exchange(windows, 2 * parts).mapInArrow(resolve, BLOB_SCHEMA)
+    return exchange(found, parts).mapInArrow(passages, "doc_id bigint, start bigint, n_words bigint, source_id bigint, source_start bigint")
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
