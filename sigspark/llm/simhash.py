@@ -10,12 +10,15 @@ b bits. b is log2 of the number of fingerprints less 4, but 16 at least, so that
 fingerprints stays at some 16; the number of orders grows with b so that all but one in `MISSED` pairs at random
 differences of `RADIUS` bits share a block, see plan(). Work grows as n ** 1.25. Up to 2**20 fingerprints there are
 8 orders of 16 blocks: fewer than 16 different bits leave a block of each order whole, so none of those pairs
-is missed; of random pairs at 40 bits 10 of 20,000 in a trial had no whole block, at 30 and at 35 bits none.
+is missed; of random pairs at 40 bits 1 to 10 of 20,000 in trials had no whole block, at 30 and at 35 bits none. As
+planned for 10**8 fingerprints, 55 of 20,000 at 40 bits had none, 1 at 35.
 
 In each bucket of a block, the distances of each 64-bit word of the fingerprints to reference
 words are tabulated once. By the triangle inequality the largest difference between two rows
 of a word's table bounds that word's distance from below, so pairs whose bounds add up to more
 than the radius are discarded and only the survivors' fingerprints are compared: in a bucket nothing is lost.
+A sample of the fingerprints tells buckets of more than `HOT`; they are cut into chunks by a hash of the id, and
+every two chunks meet on their own.
 """
 
 from __future__ import annotations
@@ -40,6 +43,10 @@ BITS = 64 * WORDS
 MISSED = 1000
 #: Bytes of records that a task holds.
 HELD = 64 << 20
+#: Fingerprints of a bucket that one task looks at together, but for as many again.
+HOT = 1 << 20
+#: Fingerprints of such a bucket that a sample has.
+SIGNS = 64
 #: Rows of a bucket up to which all its pairs are looked at together.
 TOGETHER = 256
 
@@ -119,6 +126,39 @@ def block_keys(f: np.ndarray, orders: Iterable[int], size: int) -> Iterator[np.n
             yield mix(block.view(np.uint64).ravel() ^ mix(np.full(len(f), s * BITS + t + 1, np.uint64)))
 
 
+def cells(keys: np.ndarray, ids: np.ndarray, hot: np.ndarray, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) with hot keys (sorted) replaced by a key for every pair of chunks that the row is in."""
+    at = np.minimum(np.searchsorted(hot, keys), max(len(hot) - 1, 0))
+    found = np.flatnonzero(hot[at] == keys) if len(hot) else np.zeros(0, np.int64)
+    if not len(found):
+        return np.arange(len(keys)), keys
+    c = chunks[at[found]]
+    mine = np.repeat((mix(ids[found].view(np.uint64)) % c.astype(np.uint64)).astype(np.int64), c)
+    row, other = np.repeat(found, c), np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+    cell = np.minimum(mine, other) * (1 << 31) + np.maximum(mine, other) + 1
+    rest = np.setdiff1d(np.arange(len(keys)), found)
+    return np.r_[rest, row], np.r_[keys[rest], mix(keys[row] ^ mix(cell.astype(np.uint64)))]
+
+
+def hot_keys(same: DataFrame, n: int, size: int, orders: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of buckets of more than about `hot` fingerprints, sorted, and numbers of chunks. They are few: at most 2 n / hot of a block."""
+    if n <= hot:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    step = max(1, hot // SIGNS)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f = np.stack([batch.column(w).to_numpy().view(np.uint64) for w in range(WORDS)], axis=1)
+            for key in block_keys(f, range(orders), size):
+                yield pa.RecordBatch.from_arrays([signed(key)], ["key"])
+
+    some = same.where(F.pmod(F.xxhash64("rep"), F.lit(step)) == 0).select(*FINGERPRINT)
+    found = some.mapInArrow(keys, "key bigint").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * 2 * step > hot).toArrow()
+    key, count = found.column(0).to_numpy().astype(np.int64).view(np.uint64), found.column(1).to_numpy()
+    order = np.argsort(key)
+    return key[order], -(-count[order] * step // hot) + 1
+
+
 def pivot_table(f: np.ndarray) -> np.ndarray:
     """(n, WORDS, PIVOTS) distances to the reference words."""
     return np.bitwise_count(f[:, :, None] ^ REFERENCES[None]).astype(np.int8)
@@ -265,13 +305,14 @@ def groups(docs: DataFrame) -> DataFrame:
     return with_numbers(fingerprints(docs), "doc_id", _groups, "group_id")
 
 
-def _groups(prints: DataFrame) -> DataFrame:
+def _groups(prints: DataFrame, hot: int = HOT) -> DataFrame:
     prints = materialize(prints)
     same = materialize(prints.groupBy(*FINGERPRINT).agg(F.min("doc_id").alias("rep")))
     n = same.count()
     size, orders = plan(n)
     #: Orders of bits whose buckets are gathered at once.
     at_once = max(1, 32 // (BITS // size))
+    sent = prints.sparkSession.sparkContext.broadcast(hot_keys(same, n, size, orders, hot))
     parts = max(partitions(prints.sparkSession), -(-n * at_once * (BITS // size) * RECORD.itemsize // HELD))
 
     def spread(orders: range) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -279,9 +320,11 @@ def _groups(prints: DataFrame) -> DataFrame:
             packer = Packer(parts)
             for batch in batches:
                 f = np.stack([batch.column(w).to_numpy().view(np.uint64) for w in range(WORDS)], axis=1) if batch.num_rows else np.zeros((0, WORDS), np.uint64)
+                ids = batch.column(WORDS).to_numpy()
                 for key in block_keys(f, orders, size):
-                    r = np.zeros(len(f), RECORD)
-                    r["key"], r["id"], r["f"] = key, batch.column(WORDS).to_numpy(), f
+                    row, key = cells(key, ids, *sent.value)
+                    r = np.zeros(len(row), RECORD)
+                    r["key"], r["id"], r["f"] = key, ids[row], f[row]
                     yield from packer.add(key, r)
             yield from packer.flush()
 

@@ -98,6 +98,25 @@ def test_large_buckets_of_fingerprints_equal_all_pairs():
     assert parts(*simhash.large_bucket(f)) == parts(a, b)
 
 
+def test_hot_bucket_of_fingerprints_is_cut_without_loss(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**63, (1, 4))
+    f = np.repeat(base, 300, 0) ^ (np.int64(1) << rng.integers(0, 20, (300, 4)))
+    f = np.unique(np.concatenate([f, rng.integers(0, 2**63, (100, 4))]), axis=0)
+    df = spark.createDataFrame([(i, *map(int, row)) for i, row in enumerate(f)], "doc_id bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
+    monkeypatch.setattr(simhash, "SIGNS", 10)
+    key, chunks = simhash.hot_keys(df.withColumnRenamed("doc_id", "rep"), len(f), 16, 8, 40)
+    assert len(key) and (chunks > 2).any()
+    whole, cut = ({(r.doc_id, r.group_id) for r in simhash._groups(df, hot).collect()} for hot in (simhash.HOT, 40))
+    assert whole == cut and len(whole) >= 290
+    ids = np.arange(50)
+    row, cell = simhash.cells(np.full(50, 7, np.uint64), ids, np.array([7], np.uint64), np.array([4]))
+    met = collections.defaultdict(set)
+    for r, c in zip(row.tolist(), cell.tolist()):
+        met[c].add(r)
+    assert len(met) == 10 and all(any({a, b} <= m for m in met.values()) for a in range(50) for b in range(50))
+
+
 def test_plan_keeps_buckets_small():
     assert simhash.plan(1000) == simhash.plan(1 << 20) == (16, 8)
     for n in (1 << 24, 1 << 30):
