@@ -59,9 +59,14 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
             _written.remove(path)
 
 
-def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
-    """What make() returns, materialized; all that was materialized on the way there is dropped."""
-    before = set(_written)
+def written() -> set[str]:
+    """Folders of materialize() that are there."""
+    return set(_written)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], before: set[str] | None = None) -> DataFrame:
+    """What make() returns, materialized; all other folders that are not in `before`, by default those written on the way there, are dropped."""
+    before = set(_written) if before is None else before
     out = materialize(make())
     drop(spark, [p for p in _written if p not in before][:-1])
     return out
