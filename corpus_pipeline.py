@@ -1,15 +1,24 @@
 """The corpus pipeline: five operators in turn, each on all that its predecessor kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes what a stage made to the folder
-that executors share and reads it back for the next one. The last gives token ids, the others documents.
+that executors share, reads it back for the next one and drops what came before. The last gives token ids, the
+others documents with all their columns, extra ones too; only line dedup changes text and n_chars.
+
+Null and empty texts have no language and go in the first stage. Rows with a null doc_id pass the dedup stages
+as they are. Repeated rows fare alike: in line dedup and near-dedup, rows that share a doc_id are one document.
+Of equal lines and of near-duplicates the one with the least doc_id stays. Texts of any length are worked whole. An
+empty table gives an empty result in every stage.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from sigspark.llm import decontaminate, langid, lines, sentencepieces, simhash
-from sigspark.llm.common import bound_batches, materialize, table
+from sigspark.llm.common import bound_batches, table
+from sigspark.plans.storage import settled, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,12 +58,12 @@ STAGES = [
     ("sentencepiece", tokenize),
 ]
 
-#: SQL cannot express the first stage (trained centroids); tests/llm compares the stages with brute force.
+#: SQL cannot express the first stage (trained centroids); tests/llm compares each stage with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), written()
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        docs = settled(spark, functools.partial(stage, spark, docs, sf_dir), before)
     return STAGES[-1][1](spark, docs, sf_dir)
