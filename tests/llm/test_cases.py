@@ -1,7 +1,11 @@
 """Cases made for one operator: hot groups, ids of other types, bounds, planted rows and plain twins of trained models."""
 
 import collections
+import hashlib
+import itertools
+import re
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from conftest import SF
@@ -255,3 +259,94 @@ def test_every_language_rejects(spark, nearest):
     assert langid.identify(rows, only).agg(F.avg(F.col("rejected").cast("double"))).first()[0] >= 0.9
     own = docs.where(F.col("lang") == nearest).where("length(text) > 40")
     assert langid.identify(own, model).agg(F.avg((~F.col("rejected")).cast("double"))).first()[0] >= 0.97
+
+
+def _components(n, edges):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in edges:
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+def _without_lines(rows):
+    places = collections.defaultdict(list)
+    for r in rows:
+        for n, line in enumerate((r["text"] or "").split("\n")):
+            if re.search(r"[^\x00-\x20]", line):
+                places[re.sub("[A-Z]", lambda m: m[0].lower(), line)].append((r["doc_id"], n))
+    names = sorted(places, key=lambda x: min(places[x]))
+    sets = [{x[i : i + 5] for i in range(len(x) - 4)} for x in names]
+    edges = [(i, j) for i, j in itertools.combinations(range(len(names)), 2) if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    groups, gone = collections.defaultdict(list), set()
+    for x, g in zip(names, _components(len(names), edges)):
+        groups[g] += places[x]
+    for g in groups.values():
+        gone |= set(g) - {min(g)}
+    out = {}
+    for r in rows:
+        lines_ = (r["text"] or "").split("\n")
+        kept = [x for n, x in enumerate(lines_) if (r["doc_id"], n) not in gone]
+        if len(kept) == len(lines_) or re.search(r"[^\x00-\x20]", "\n".join(kept)):
+            out[r["doc_id"]] = "\n".join(kept)
+    return out
+
+
+def _without_copies(rows):
+    prints = []
+    for r in rows:
+        words = set(re.findall("[0-9a-z\x80-\U0010ffff]+", r["text"].lower()))
+        raw = [np.unpackbits(np.frombuffer(hashlib.md5(w.encode()).digest() + hashlib.md5(b"+" + w.encode()).digest(), np.uint8)) for w in words]
+        prints.append((2 * np.sum(raw, axis=0, dtype=int) > len(words)) if words else None)
+    order = sorted(range(len(rows)), key=lambda i: rows[i]["doc_id"])
+    edges = [(a, b) for a, b in itertools.combinations(range(len(order)), 2) if prints[order[a]] is not None and prints[order[b]] is not None and (prints[order[a]] != prints[order[b]]).sum() <= simhash.RADIUS]
+    return {rows[order[i]]["doc_id"] for i, g in enumerate(_components(len(order), edges)) if i == g}
+
+
+def test_each_stage_equals_brute_force(spark):
+    given = [r.asDict() for r in spark.read.parquet(f"{SF}/documents.parquet").limit(120).collect()]
+    bench = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    long = next(r["text"] for r in given if 800 < len(r["text"]) < 3000).replace("\n", " ").split()
+    planted = ["Российская академия наук опубликовала новый отчёт о состоянии климата " * 5, "xqzj vkwp zzgh qpwx jvbn kqxz wvtr pqlm " * 20, " ".join(long), " ".join([*long[:40], "changed", *long[41:]]), " ".join(long[:-1]), bench[0], "Before. " + bench[1].upper() + " After.", "", None, given[5]["text"]]
+    base = max(r["doc_id"] for r in given) + 1
+    docs = spark.createDataFrame([tuple(r.values()) for r in given] + [(base + i, t, "en" if i > 1 else None, "planted", len(t or "")) for i, t in enumerate(planted)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["language_id", "line_dedup", "simhash_near_dedup", "decontamination", "sentencepiece"]
+    now = docs.collect()
+    model = langid.train(docs)
+    want = []
+    for r in now:
+        data = np.frombuffer((r.text or "").lower().encode(), np.uint8)
+        if not model.label(data, np.array([0, len(data)]))[2][0]:
+            want.append(tuple(r))
+    now = stages["language_id"](spark, docs, SF).collect()
+    assert sorted(map(tuple, now), key=str) == sorted(want, key=str)
+    assert not {base, base + 1, base + 7, base + 8} & {r.doc_id for r in now} and base + 2 in {r.doc_id for r in now}
+
+    want = _without_lines(now)
+    after = stages["line_dedup"](spark, spark.createDataFrame(now, docs.schema), SF).collect()
+    got = {r.doc_id: r.text for r in after}
+    assert all(r.n_chars == len(r.text) for r in after if r.text != {x.doc_id: x.text for x in now}[r.doc_id])
+    assert len(got.keys() ^ want.keys()) + sum(got[i] != want[i] for i in got.keys() & want.keys()) <= 0.03 * len(now)  # recall of the bands
+
+    for rows in (now, after):  # the stage on its own input, and on one that still has the copies
+        df = spark.createDataFrame(rows, docs.schema)
+        assert {r.doc_id for r in stages["simhash_near_dedup"](spark, df, SF).collect()} == _without_copies(rows)
+    now = stages["simhash_near_dedup"](spark, spark.createDataFrame(after, docs.schema), SF).collect()
+
+    flat = [" ".join(w[i : i + 8]) for w in (re.findall("[0-9a-z\x80-\U0010ffff]+", b.lower()) for b in bench) for i in range(max(1, len(w) - 7)) if len(w) >= 5]
+    clean = [r for r in now if not any(f" {p} " in " " + " ".join(re.findall("[0-9a-z\x80-\U0010ffff]+", r.text.lower())) + " " for p in flat)]
+    left = stages["decontamination"](spark, spark.createDataFrame(now, docs.schema), SF).collect()
+    assert sorted(map(tuple, left)) == sorted(map(tuple, clean)) and len(clean) < len(now)
+    out = stages["sentencepiece"](spark, spark.createDataFrame(left, docs.schema), SF)
+    assert out.count() == len(left) and out.where("not round_trip").count() == 0
+    extra = docs.withColumns({"Lowered": F.lit(1), "gone_lines": F.lit(2), "GONE_DOC": F.lit(3), "gone": F.lit(4)})
+    for name in list(stages)[:-1]:
+        assert stages[name](spark, extra, SF).columns == extra.columns and stages[name](spark, extra.where("false"), SF).count() == 0
+    assert stages["sentencepiece"](spark, extra.where("false"), SF).count() == 0
