@@ -32,7 +32,7 @@ HOT = 5000
 #: Bits of the filter through which candidates pass on their way to their texts: 8 for each, within these bounds. Past the larger one more lines travel.
 FILTER_BITS = (1 << 20, 1 << 26)
 #: Lines that a task remembers to have sent.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 16
 
 _BINS = BANDS * ROWS
 _NONE = np.uint32(0xFFFFFFFF)

@@ -29,7 +29,7 @@ from sigspark.llm.common import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Remembered pairs, at most, in a worker, and parts in each of two generations: the older one is forgotten when the newer one is full.
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 DEAD = -np.inf
 
 

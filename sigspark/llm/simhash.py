@@ -67,7 +67,7 @@ class Hasher:
         self.lanes = np.zeros((1024, 8 * WORDS), np.uint64)
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.numbers) > 300_000:
+        if len(self.numbers) > 150_000:
             self.numbers.clear()
         start, new = len(self.numbers), [w for w in words if w not in self.numbers]
         if not new:
