@@ -121,7 +121,7 @@ def floors(own: tuple[np.ndarray, np.ndarray], foreign: tuple[np.ndarray, np.nda
     """A limit for each band, from (bands, highest cosines) of pieces.
 
     Between what all but `tail` of the foreign pieces stay below and what all but `tail` of the language's own
-    reach, it is a third of the way up. Where texts are too short to tell them apart, it is what all but `tail` of the
+    reach, it is a quarter of the way up. Where texts are too short to tell them apart, it is what all but `tail` of the
     language's own reach, but never less than half of the foreign ones do. A band
     without pieces has the limit of the nearest shorter one, or else of the shortest that has some. From
     four trigrams on, limits never fall with length.
@@ -131,7 +131,7 @@ def floors(own: tuple[np.ndarray, np.ndarray], foreign: tuple[np.ndarray, np.nda
         mine, other = own[1][own[0] == b], foreign[1][foreign[0] == b]
         if len(mine) and len(other):
             low, high = np.quantile(other, 1 - tail), np.quantile(mine, tail)
-            out[b] = low + (high - low) / 3 if high > low else max(np.quantile(other, 0.5), high)
+            out[b] = low + (high - low) / 4 if high > low else max(np.quantile(other, 0.5), high)
     have = np.flatnonzero(~np.isnan(out))
     if not len(have):
         return np.zeros(BANDS)
