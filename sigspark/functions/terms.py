@@ -81,15 +81,22 @@ def pack_kmers(letters: np.ndarray) -> np.ndarray:
     return (padded[..., 0] << 6 | padded[..., 1] << 4 | padded[..., 2] << 2 | padded[..., 3])[:, ::-1].copy()
 
 
-def packed(term: Column) -> Column:
-    """A column of k-mers, all of one length, packed."""
+def _stacked(s: pd.Series, width: int, run) -> pd.Series:
+    """run() over the values, each of `width` bytes, as one array; nulls stay."""
+    some = s.notna().to_numpy()
+    out = np.full(len(s), None, object)
+    if some.any():
+        raw = b"".join(map(bytes, s[some]))
+        out[some] = [x.tobytes() for x in run(np.frombuffer(raw, np.uint8).reshape(-1, width))]
+    return pd.Series(out, dtype=object)
+
+
+def packed(term: Column, k: int) -> Column:
+    """A column of k-mers, packed."""
 
     @F.pandas_udf("binary")
     def run(s: pd.Series) -> pd.Series:
-        out = []
-        for x in s:
-            out.append(None if x is None else pack_kmers(np.frombuffer(bytes(x), np.uint8)[None]).tobytes())
-        return pd.Series(out, dtype=object)
+        return _stacked(s, k, pack_kmers)
 
     return run(term)
 
@@ -97,7 +104,7 @@ def packed(term: Column) -> Column:
 def unpacked(column: Column, k: int) -> Column:
     @F.pandas_udf("binary")
     def run(s: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else unpack_kmers(np.frombuffer(bytes(x), np.uint8)[None], k).tobytes() for x in s], dtype=object)
+        return _stacked(s, -(-k // 4), lambda x: unpack_kmers(x, k))
 
     return run(column)
 

@@ -8,6 +8,7 @@ partial aggregation; term bytes never travel.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -31,15 +32,23 @@ class Tables:
     pages: DataFrame
     docs: DataFrame
     bits: DataFrame
+    #: Of an index that isn't stored: bits of these (page_id, row_idx) alone, so that the other terms never travel.
+    narrowed: Callable[[DataFrame], DataFrame] | None = None
 
+    def bits_of(self, rows: DataFrame) -> DataFrame:
+        """bits, or what is needed of them, for the rows (page_id, row_idx) that a search touches."""
+        return self.narrowed(rows.select("page_id", "row_idx").distinct()) if self.narrowed else self.bits
 
-def bit_words(placed: DataFrame, params: ClassicParams | CompactParams) -> DataFrame:
-    """placed: page_id, slot, signature_size, seq."""
+
+def bit_words(placed: DataFrame, params: ClassicParams | CompactParams, only: DataFrame | None = None) -> DataFrame:
+    """placed: page_id, slot, signature_size, seq; only: the (page_id, row_idx) that are wanted, by default all."""
     found = terms(placed, params.term_size, params.canonicalize)
     size = F.col("signature_size")
     rows = [term_row(F.col("term"), j, size, params.family) for j in range(params.num_hashes)]
     word = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("slot", F.lit(WORD)).cast("int"))
     one = found.select("page_id", F.floor(F.col("slot") / WORD).cast("int").alias("word_idx"), word.alias("bit"), F.explode(F.array(*rows)).alias("row_idx"))
+    if only is not None:
+        one = one.join(only, ["page_id", "row_idx"], "left_semi")
     return one.groupBy("page_id", "row_idx", "word_idx").agg(F.bit_or("bit").alias("bits"))
 
 
@@ -56,18 +65,25 @@ def classic_size(docs: DataFrame, params: ClassicParams) -> int:
 
 
 def build_classic(segments: DataFrame, params: ClassicParams = ClassicParams()) -> Tables:
-    docs = numbered(documents(segments, params.term_size), ["path", "subdoc_index"], "doc_id")
-    docs = materialize(docs.withColumns({"page_id": F.lit(0), "slot": F.col("doc_id")}))
+    docs = materialize(numbered(documents(segments, params.term_size), ["path", "subdoc_index"], "doc_id").withColumns({"page_id": F.lit(0), "slot": F.col("doc_id")}))
     n = docs.count()
     size = params.signature_size or classic_size(docs, params)
     pages = segments.sparkSession.createDataFrame([(0, size)], "page_id int, signature_size bigint")
-    bits = bit_words(_placed(segments, docs, pages), params)
-    return Tables(Meta("classic", params.term_size, params.canonicalize, params.num_hashes, params.family, n, n), pages, docs, bits)
+    return _built(Meta("classic", params.term_size, params.canonicalize, params.num_hashes, params.family, n, n), segments, docs, pages, params)
+
+
+def _built(meta: Meta, segments: DataFrame, docs: DataFrame, pages: DataFrame, params: ClassicParams | CompactParams) -> Tables:
+    placed = _placed(segments, docs, pages)
+    return Tables(meta, pages, docs, bit_words(placed, params), lambda rows: bit_words(placed, params, rows))
 
 
 def paged(docs: DataFrame, page_docs: int) -> DataFrame:
     """Documents, by (size, path), in pages of page_docs; slots and doc_id go by path within a page."""
-    by_size = numbered(docs, ["size", "path", "subdoc_index"], "_rank").withColumn("page_id", F.floor(F.col("_rank") / page_docs).cast("int"))
+    return _paged(numbered(docs, ["size", "path", "subdoc_index"], "_rank"), page_docs)
+
+
+def _paged(ranked: DataFrame, page_docs: int) -> DataFrame:
+    by_size = ranked.withColumn("page_id", F.floor(F.col("_rank") / page_docs).cast("int"))
     slot = F.row_number().over(Window.partitionBy("page_id").orderBy("path", "subdoc_index")) - 1
     return by_size.withColumn("slot", slot.cast("bigint")).withColumn("doc_id", F.col("page_id").cast("bigint") * page_docs + F.col("slot")).drop("_rank")
 
@@ -78,13 +94,11 @@ def page_sizes(docs: DataFrame, params: CompactParams) -> DataFrame:
 
 
 def build_compact(segments: DataFrame, params: CompactParams = CompactParams()) -> Tables:
-    found = materialize(documents(segments, params.term_size))
-    n = found.count()
+    ranked = numbered(documents(segments, params.term_size), ["size", "path", "subdoc_index"], "_rank")
+    n = ranked.count()
     width = 8 * (params.page_size or page_size(n))
-    docs = materialize(paged(found, width))
-    pages = materialize(page_sizes(docs, params))
-    bits = bit_words(_placed(segments, docs, pages), params)
-    return Tables(Meta("compact", params.term_size, params.canonicalize, params.num_hashes, params.family, n, width), pages, docs, bits)
+    docs = materialize(_paged(ranked, width))
+    return _built(Meta("compact", params.term_size, params.canonicalize, params.num_hashes, params.family, n, width), segments, docs, page_sizes(docs, params), params)
 
 
 def _same(tables: list[Tables], *names: str) -> None:

@@ -47,38 +47,45 @@ def scores(found: DataFrame, tables: Tables, row_limit: int = 0) -> DataFrame:
 
     row_limit: if at most so many rows of the index are touched, their numbers are pushed to its scan.
     """
-    rows, bits = hashed(found, tables), tables.bits
-    if row_limit:
+    rows = hashed(found, tables)
+    bits = tables.bits_of(rows)
+    if row_limit and not tables.narrowed:
         touched = [r[0] for r in rows.select("row_idx").distinct().limit(row_limit + 1).collect()]
         if len(touched) <= row_limit:
             bits = bits.where(F.col("row_idx").isin(touched))
     met = rows.join(bits, ["page_id", "row_idx"])
-    if tables.meta.num_hashes > 1:
-        met = met.groupBy("query_id", "pos", "page_id", "word_idx").agg(F.bit_and("bits").alias("bits"), F.count_distinct("j").alias("n")).where((F.col("n") == tables.meta.num_hashes) & (F.col("bits") != 0))
+    if tables.meta.num_hashes > 1:  # each hash of a window has one row of bits
+        met = met.groupBy("query_id", "pos", "page_id", "word_idx").agg(F.bit_and("bits").alias("bits"), F.count("*").alias("n")).where((F.col("n") == tables.meta.num_hashes) & (F.col("bits") != 0))
     places = F.expr(f"filter(sequence(0, {WORD - 1}), b -> (shiftrightunsigned(bits, b) & 1) = 1)")
     single = met.select("query_id", "page_id", "word_idx", F.explode(places).alias("b"))
     return single.groupBy("query_id", "page_id", (F.col("word_idx") * F.lit(WORD).cast("bigint") + F.col("b")).alias("slot")).agg(F.count("*").alias("score"))
 
 
+def first_found(results: DataFrame, limit: int = 0) -> DataFrame:
+    """results in the order of documents, the first `limit` of each query unless 0: what a search for one term, which has no better or worse hits, may stop at."""
+    return ranked(results.withColumn("_score", F.col("score")).withColumn("score", F.lit(0)), limit).withColumn("score", F.col("_score")).drop("_score")
+
+
 def ranked(results: DataFrame, limit: int = 0) -> DataFrame:
     """rank from 1 by score, then document; the first `limit` of each query unless 0."""
     out = results.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "index_no", "doc_id")))
     return out.where(F.col("rank") <= limit) if limit else out
 
 
-def _kept(found: DataFrame, queries: DataFrame, docs: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Results at the threshold. What needs no score at all takes in every document, with score 0 if it has none."""
+def _kept(found: DataFrame, queries: DataFrame, docs: DataFrame, k: int, threshold: float, short: bool = True) -> DataFrame:
+    """Results at the threshold. What needs no score at all takes in every document, with score 0 if it has none.
+
+    short: whether there may be queries without terms.
+    """
     need = queries.select("query_id", needed(F.octet_length(F.col("query").cast("binary")), k, threshold).alias("need"))
+    named = None
     if threshold > 0:
-        scored = found.join(need, "query_id").where("score >= need").drop("need")
-        free = need.where("need = 0").select("query_id")  # queries without terms
-    else:
-        scored, free = None, need.select("query_id")
+        named = found.join(need, "query_id").where("score >= need").drop("need").join(docs, "doc_id")
+        if not short:
+            return named
+    free = need.where("need = 0").select("query_id")
     every = free.crossJoin(docs).join(found.select("query_id", "doc_id", "score"), ["query_id", "doc_id"], "left").withColumn("score", F.coalesce("score", F.lit(0).cast("bigint")))
-    if scored is None:
-        return every
-    named = scored.join(docs, "doc_id")
-    return named.unionByName(every) if threshold > 0 else every
+    return named.unionByName(every) if named is not None else every
 
 
 def search(queries: DataFrame, indices: list[Tables], threshold: float = 0.0, limit: int = 0, on_short: str = "error", row_limit: int = 0) -> DataFrame:
@@ -93,7 +100,7 @@ def search(queries: DataFrame, indices: list[Tables], threshold: float = 0.0, li
         docs = t.docs.select("doc_id", F.col("name").alias("doc_name"))
         found = scores(query_terms(checked, t.meta.term_size, t.meta.canonicalize, "skip"), t, row_limit)
         found = found.select("query_id", (F.col("page_id").cast("bigint") * t.meta.page_docs + F.col("slot")).alias("doc_id"), "score")
-        parts.append(_kept(found, checked, docs, t.meta.term_size, threshold).withColumn("index_no", F.lit(number)))
+        parts.append(_kept(found, checked, docs, t.meta.term_size, threshold, on_short != "error").withColumn("index_no", F.lit(number)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import gzip
 import logging
+import os
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.functions.terms import base_name, num_terms, unpack_kmers
+from sigspark.functions.terms import base_name, num_terms, pack_kmers, unpack_kmers
 from sigspark.model import FILE_TYPES, file_type_named
 
 SCHEMA = "path string, file_type string, name string, subdoc_index int, size bigint, seq binary"
@@ -126,6 +128,8 @@ def packed_document(data: bytes) -> tuple[str, int, np.ndarray]:
     if data[5:13] != b"DOCUMENT" or struct.unpack_from("<I", data, 13)[0] != 1:
         raise FormatError("no packed document")
     (k,) = struct.unpack_from("<I", data, 17)
+    if not k:
+        raise FormatError("k is 0")
     end = data.index(b"\0", 21)
     name = data[21:end].decode("latin1")
     if data[end + 1 : end + 9] != b"DOCUMENT":
@@ -135,6 +139,54 @@ def packed_document(data: bytes) -> tuple[str, int, np.ndarray]:
     return name, k, unpack_kmers(body[: len(body) // width * width].reshape(-1, width), k)
 
 
+def packed_bytes(name: str, k: int, packed: bytes, magic: bytes = b"SIGSP") -> bytes:
+    """A file of packed k-mers, as packed_document() reads it."""
+    return magic + b"DOCUMENT" + struct.pack("<II", 1, k) + name.encode("latin1") + b"\0DOCUMENT" + packed
+
+
+def write_packed(segments: DataFrame, k: int, folder: str) -> DataFrame:
+    """A file of packed k-mers, `name`.sig_doc, for each document; returns path and n_terms of each.
+
+    Only windows of A, C, G and T alone are k-mers. A document's k-mers are packed in order, by the task that holds
+    its sequences, straight to its file; a document without one has a file without any.
+    """
+    spark = segments.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if path.toUri().getScheme() not in (None, "file"):
+        raise ValueError("packed files are written to a file system that is mounted on all executors")
+    root = path.toUri().getPath()
+    letters = np.isin(np.arange(256), np.frombuffer(b"ACGT", np.uint8))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(root, exist_ok=True)
+        file, now, n = None, None, 0
+        for batch in batches:
+            for where, sub, name, seq in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if (where, sub) != now:
+                    if file:
+                        file.close()
+                        os.replace(file.name, file.name[:-4])
+                        yield pa.RecordBatch.from_pylist([{"path": file.name[:-4], "n_terms": n}])
+                    now, n = (where, sub), 0
+                    file = open(f"{root}/{name}.sig_doc.tmp", "wb")
+                    file.write(packed_bytes(name, k, b""))
+                x = np.frombuffer(seq or b"", np.uint8)
+                if len(x) >= k:
+                    windows = np.lib.stride_tricks.sliding_window_view(x, k)
+                    for at in range(0, len(windows), 1 << 16):
+                        some = windows[at : at + (1 << 16)]
+                        some = some[letters[some].all(1)]
+                        file.write(pack_kmers(some).tobytes())
+                        n += len(some)
+        if file:
+            file.close()
+            os.replace(file.name, file.name[:-4])
+            yield pa.RecordBatch.from_pylist([{"path": file.name[:-4], "n_terms": n}])
+
+    rows = segments.select("path", "subdoc_index", "name", "seq").repartition("path", "subdoc_index").sortWithinPartitions("path", "subdoc_index")
+    return rows.mapInArrow(run, "path string, n_terms bigint")
+
+
 def _decode(kind: str, name: str, size: int, data: bytes) -> Iterator[tuple[str, int, int, bytes]]:
     """(name, subdoc_index, size, seq); a document without sequences has one null seq."""
     if data[:2] == b"\x1f\x8b":
@@ -201,7 +253,7 @@ def decoded(files: DataFrame, skip_broken: bool = False) -> DataFrame:
             for row in batch.to_pylist():
                 try:
                     found = list(_decode(row["file_type"], row["name"], row["size"], row["content"]))
-                except (FormatError, struct.error, ValueError, OSError) as error:
+                except (FormatError, struct.error, ValueError, OSError, EOFError, zlib.error) as error:
                     if not skip_broken:
                         raise
                     logging.getLogger("sigspark").warning("%s is left out: %s", row["path"], error)
@@ -260,3 +312,13 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     return raw.mapInArrow(run, "query_id bigint, comment string, query binary")
+
+
+def query_lines(queries: DataFrame) -> DataFrame:
+    """value: the lines of a query file for comment and query, two for each."""
+    return queries.select(F.explode(F.array(F.concat(F.lit(">"), "comment"), F.col("query").cast("string"))).alias("value"))
+
+
+def write_queries(queries: DataFrame, path: str, compression: str = "none") -> None:
+    """A query file, or several in a folder where queries have several partitions; compression: none, gzip and so on."""
+    query_lines(queries).write.option("compression", compression).text(path)

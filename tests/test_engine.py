@@ -81,7 +81,7 @@ def test_packing(spark):
         letters = np.frombuffer(b"ACGT", np.uint8)[rng.integers(0, 4, (20, k))]
         assert (unpack_kmers(pack_kmers(letters), k) == letters).all()
     df = spark.createDataFrame([(bytearray(b"ACGTA"),), (None,)], "t binary")
-    assert [r[0] and bytes(r[0]) for r in df.select(unpacked(packed(F.col("t")), 5)).collect()] == [b"ACGTA", None]
+    assert [r[0] and bytes(r[0]) for r in df.select(unpacked(packed(F.col("t"), 5), 5)).collect()] == [b"ACGTA", None]
 
 
 def _cortex(name, k, letters):
