@@ -37,6 +37,16 @@ def page_size(num_docs: int) -> int:
     return min(4096, max(8, power))
 
 
+def set_bit_ratio_col(size: Column, num_hashes: int, rate: float) -> Column:
+    return 1 - F.pow(1 - 1 / size, size * (num_hashes / size_ratio(num_hashes, rate)))
+
+
+def page_size_col(num_docs: Column) -> Column:
+    root = F.floor(F.sqrt(F.floor(num_docs / 8)))
+    power = F.when(root <= 1, 1).otherwise(F.pow(F.lit(2), F.ceil(F.log2(root))))
+    return F.least(F.lit(4096), F.greatest(F.lit(8), power)).cast("bigint")
+
+
 def parameters(terms: int, num_hashes: int, rate: float) -> dict[str, float]:
     """The ratio alone for 0 terms; else bits and bytes of a signature as well."""
     out = {"ratio": size_ratio(num_hashes, rate)}

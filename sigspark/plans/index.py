@@ -11,7 +11,7 @@ from sigspark.model import ClassicParams, CompactParams, Meta
 from sigspark.operators import build, search
 from sigspark.operators.build import Tables
 from sigspark.plans.storage import drop, file_system, new_path
-from sigspark.sources.files import read_files
+from sigspark.sources.files import read_files, read_queries
 
 
 def write(tables: Tables, path: str, mode: str = "errorifexists") -> None:
@@ -109,6 +109,12 @@ def combine_compact(spark: SparkSession, paths: list[str], path: str, page_size:
     write(build.combine_compact([read(spark, p) for p in sorted(paths)], page_size), path, mode)
 
 
+def search_file(index: Index, path: str, threshold: float = 0.0, limit: int = 0) -> DataFrame:
+    """Lines of text for the queries of a file: of each *comment and its number of results, then these."""
+    queries = read_queries(index.spark, path)
+    return result_lines(index.search(queries.drop("comment"), threshold, limit), queries)
+
+
 def result_lines(results: DataFrame, queries: DataFrame | None = None) -> DataFrame:
     """Lines of text: name and score; with a batch of queries, first *comment and the number of results of each."""
     lines = results.select("query_id", F.col("rank").cast("bigint").alias("n"), F.concat_ws("\t", "doc_name", F.col("score").cast("string")).alias("value"))

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigspark.functions import sizing
 from sigspark.functions.hashing import term_row
-from sigspark.functions.terms import base_name, canonical_windows, windows
+from sigspark.functions.terms import base_name, canonical_windows, packed, windows
 from sigspark.model import ClassicParams, CompactParams
 from sigspark.operators import build, listing, search, workload
+from sigspark.plans import index
+from sigspark.plans.storage import new_path
 from sigspark.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -329,13 +333,36 @@ def search_limit(spark: SparkSession, sf: str) -> DataFrame:
     return _results(search.search(_asked(spark, sf), [_classic(spark, sf)], 0.3, 5))
 
 
-_TWICE = _index(1, _R1).replace("c AS (SELECT query_id, 0 AS index_no", "c0 AS (SELECT query_id, 0 AS index_no") + ", c AS (SELECT * FROM c0 UNION ALL SELECT query_id, 1 AS index_no, doc_id, doc_name, score FROM c0)"
+def _of(k: int, at: int, size: int, where: str) -> str:
+    """SQL for index number `at`, of the documents where it says so: need<at> and c<at> as in _ranked()."""
+    t = _TERMS.replace("s AS (", f"s{at} AS (").replace("t AS (", f"t{at} AS (").replace("q AS (", f"q{at} AS (").replace("qs AS (", f"qs{at} AS (").replace("FROM s ", f"FROM s{at} ").replace("FROM qs ", f"FROM qs{at} ")
+    t = t.replace(f"qs{at}{at}", f"qs{at}").replace("WHERE text IS NOT NULL", f"WHERE text IS NOT NULL AND {where}")
+    t = t.replace(f"2 * i - 1, {2 * K}", f"2 * i - 1, {2 * k}").replace(f"n - {K - 1} + 1", f"n - {k - 1} + 1").replace(f"n >= {K}", f"n >= {k}")
+    return (
+        f"{t}, need{at} AS (SELECT query_id, CAST(ceil(0.8::DOUBLE * greatest(n - {k - 1}, 0)) AS BIGINT) AS need FROM qs{at}), "
+        f"p{at} AS (SELECT DISTINCT doc_id, {_md5('term', '0', str(size))} AS row_idx FROM t{at}), r{at} AS (SELECT query_id, pos, {_md5('term', '0', str(size))} AS row_idx FROM q{at}), "
+        f"c{at} AS (SELECT query_id, {at} AS index_no, doc_id, CAST(doc_id AS VARCHAR) AS doc_name, count(*) AS score FROM r{at} JOIN p{at} USING (row_idx) JOIN need{at} USING (query_id) GROUP BY query_id, doc_id, need HAVING count(*) >= need)"
+    )
+
 
+_SETS = [(31, 60000, "doc_id % 4 = 0"), (24, 50000, "doc_id % 4 = 1"), (31, 40009, "doc_id % 4 > 1")]
 
-@registered(f"WITH {_TERMS}, {_ranked(_TWICE, 0.8)}")
+
+@registered(
+    "WITH " + ", ".join(_of(k, at, size, where) for at, (k, size, where) in enumerate(_SETS)) + ", c AS (" + " UNION ALL ".join(f"SELECT * FROM c{at}" for at in range(len(_SETS)))
+    + ") SELECT query_id, index_no, doc_name, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, index_no, doc_id) AS INTEGER) AS rank FROM c"
+)
 def search_multi_index(spark: SparkSession, sf: str) -> DataFrame:
-    tables = _classic(spark, sf)
-    return _results(search.search(_asked(spark, sf), [tables, tables], 0.8))
+    """Three indices of different documents, term sizes and signature sizes."""
+    every = _corpus(spark, sf).withColumn("doc_id", F.col("name").cast("bigint"))
+    tables = [build.build_classic(every.where(where).drop("doc_id"), ClassicParams(term_size=k, signature_size=size, **MD5)) for k, size, where in _SETS]
+    return _results(search.search(_asked(spark, sf), tables, 0.8))
+
+
+@registered()
+def search_xxh64(spark: SparkSession, sf: str) -> DataFrame:
+    """search_classic with the default hash family, which SQL engines don't share."""
+    return _results(search.search(_asked(spark, sf), [build.build_classic(_corpus(spark, sf), ClassicParams(canonicalize=False))], 0.8))
 
 
 def _halves(spark: SparkSession, sf: str, size: int) -> list[build.Tables]:
@@ -352,12 +379,20 @@ def combine_classic(spark: SparkSession, sf: str) -> DataFrame:
     return _results(search.search(_asked(spark, sf), [build.combine_classic(_halves(spark, sf, 60000))], 0.8))
 
 
-@registered(f"WITH {_TERMS}, {_ranked(_fixed(60000).replace('SELECT query_id, 0 AS index_no, doc_id, CAST', 'SELECT query_id, 0 AS index_no, (doc_id % 2) * 1000000000000 + doc_id AS doc_id, CAST'), 0.8)}")
+@registered(f"WITH {_TERMS}, {_ranked(_fixed(60000), 0.8)}")
 def combine_compact(spark: SparkSession, sf: str) -> DataFrame:
-    halves = _halves(spark, sf, 60000)
-    width = halves[0].meta.num_docs
-    padded = [build.Tables(h.meta.__class__(**{**h.meta.row(), "num_docs": -(-width // 8) * 8 if i == 0 else h.meta.num_docs}), h.pages, h.docs, h.bits) for i, h in enumerate(halves)]
-    return _results(search.search(_asked(spark, sf), [build.combine_compact(padded, -(-width // 8))], 0.8))
+    """Four indices, of which all but the last are exactly a page wide, stored, combined and opened again."""
+    corpus = _corpus(spark, sf)
+    docs = listing.listed(corpus, K)
+    page_size = -(-docs.count() // 32)
+    paths = []
+    for i in range(4):
+        own = docs.where(F.floor(F.col("doc_id") / (8 * page_size)) == i).select("path")
+        paths.append(f"{new_path(spark)}/{i}")
+        index.construct_classic(spark, corpus.join(own, "path", "left_semi"), paths[-1], ClassicParams(signature_size=60000, **MD5))
+    tables = build.combine_compact([index.read(spark, p) for p in paths], page_size)
+    index.write(tables, joined := new_path(spark))
+    return _results(search.search(_asked(spark, sf), [index.read(spark, joined)], 0.8))
 
 
 @registered("SELECT 0::BIGINT AS violations")
@@ -404,9 +439,9 @@ def random_index(spark: SparkSession, sf: str) -> DataFrame:
 # ---- parsers, on files made of columns
 
 
-def _made(spark: SparkSession, sf: str, kind: str, content: Column) -> DataFrame:
+def _made(spark: SparkSession, sf: str, kind: str, content: Column, where: str = "true") -> DataFrame:
     key = F.col("p_partkey").cast("string")
-    made = _table(spark, sf, "part").select(key.alias("path"), F.lit(kind).alias("file_type"), key.alias("name"), F.octet_length(content).cast("bigint").alias("size"), content.cast("binary").alias("content"))
+    made = _table(spark, sf, "part").where(where).select(key.alias("path"), F.lit(kind).alias("file_type"), key.alias("name"), F.octet_length(content).cast("bigint").alias("size"), content.cast("binary").alias("content"))
     return files.decoded(made).select("name", "subdoc_index", F.col("seq").cast("string").alias("seq"))
 
 
@@ -426,3 +461,81 @@ def fastq_reads(spark: SparkSession, sf: str) -> DataFrame:
 def mfasta_subdocs(spark: SparkSession, sf: str) -> DataFrame:
     lines = [F.lit(">a"), F.col("p_type"), F.col("p_brand"), F.lit(">b"), F.col("p_name"), F.lit(";c"), F.col("p_type"), F.lit(">d"), F.lit("")]
     return _made(spark, sf, "mfasta", F.concat_ws("\n", *lines))
+
+
+@registered("SELECT p_partkey || '_' || lpad(CAST(i AS VARCHAR), 6, '0') AS name, CAST(i AS INTEGER) AS subdoc_index, [p_type, p_name][i + 1] AS seq FROM part, (SELECT unnest([0, 1]) AS i)")
+def mfastq_reads(spark: SparkSession, sf: str) -> DataFrame:
+    lines = [F.lit("@a"), F.col("p_type"), F.lit("+"), F.col("p_type"), F.lit("@b"), F.col("p_name"), F.lit("+b"), F.col("p_name"), F.lit("")]
+    return _made(spark, sf, "mfastq", F.concat_ws("\n", *lines))
+
+
+def _packed(kind: str) -> Column:
+    """Graph files and packed documents of two 7-mers: the digits of p_partkey and p_size as letters."""
+    mers = [F.translate(F.lpad(F.conv(c, 10, 4), 7, "0"), "0123", "ACGT").cast("binary") for c in ("p_partkey", "p_size")]
+    two = [packed(m, 7) for m in mers]
+    number = lambda n: F.lit(n.to_bytes(4, "little"))
+    if kind == "cortex":
+        name, zeros = F.col("p_brand").cast("binary"), lambda n: F.lit(bytes(n))
+        size = F.concat(F.to_binary(F.lpad(F.hex(F.length("p_brand")), 2, "0"), F.lit("hex")), zeros(3))
+        bodies = [F.concat(t, zeros(6), zeros(5)) for t in two]
+        return F.concat(F.lit(b"CORTEX"), number(6), number(7), number(1), number(1), zeros(12), size, name, zeros(16), zeros(12), number(0), F.lit(b"CORTEX"), *bodies)
+    return F.concat(F.lit(b"SIGSPDOCUMENT"), number(1), number(7), F.col("p_brand").cast("binary"), F.lit(b"\0DOCUMENT"), *two)
+
+
+_BASE4 = "list_reduce(list_transform(range(7), lambda i: ['A', 'C', 'G', 'T'][({c} // power(4, 6 - i)::BIGINT) % 4 + 1]), lambda a, b: a || b)"
+_TWO = f"SELECT p_brand AS name, 0 AS subdoc_index, unnest([{_BASE4.format(c='(p_partkey % 16384)')}, {_BASE4.format(c='p_size')}]) AS seq FROM part WHERE p_partkey < 16384"
+
+
+@registered(_TWO)
+def cortex_graphs(spark: SparkSession, sf: str) -> DataFrame:
+    return _made(spark, sf, "cortex", _packed("cortex"), "p_partkey < 16384")
+
+
+@registered(_TWO)
+def packed_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return _made(spark, sf, "kmers", _packed("kmers"), "p_partkey < 16384")
+
+
+@registered("SELECT CAST(p_partkey AS VARCHAR) AS name, 0 AS subdoc_index, p_name AS seq FROM part")
+def gzip_fasta(spark: SparkSession, sf: str) -> DataFrame:
+    content = F.concat(F.lit(">"), "p_brand", F.lit("\n"), "p_name", F.lit("\n"))
+
+    @F.pandas_udf("binary")
+    def zipped(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: gzip.compress(x.encode()))
+
+    return _made(spark, sf, "fasta", zipped(content))
+
+
+@registered("SELECT row_number() OVER (ORDER BY item_id) - 1 AS query_id, ' item ' || item_id AS comment, regexp_replace(text, '[\r\n]', '', 'g') AS query FROM benchmark")
+def query_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Queries written to a file and read back."""
+    asked = _table(spark, sf, "benchmark").orderBy("item_id").select(F.format_string(" item %d", "item_id").alias("comment"), F.regexp_replace("text", "[\r\n]", "").alias("query"))
+    files.write_queries(asked.coalesce(1), path := new_path(spark))
+    return files.read_queries(spark, path).withColumn("query", F.decode("query", "UTF-8")).withColumn("comment", F.col("comment"))
+
+
+@registered("SELECT p_partkey, least(4096, greatest(8, CASE WHEN r <= 1 THEN 1 ELSE power(2, ceil(log2(r))) END))::BIGINT AS page_size FROM (SELECT p_partkey, floor(sqrt((p_partkey * p_size * 97) // 8)) AS r FROM part)")
+def page_size_default(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "part").select("p_partkey", sizing.page_size_col(F.col("p_partkey") * F.col("p_size") * 97).alias("page_size"))
+
+
+@registered("SELECT p_partkey, " + ", ".join(f"round(1 - power(1 - 1.0::DOUBLE / m, m * {h} / (-{h} / ln(1 - power(0.3::DOUBLE, 1.0::DOUBLE / {h})))), 9) AS h{h}" for h in (1, 2, 3)) + " FROM (SELECT p_partkey, (p_partkey + 1) * 1000 AS m FROM part)")
+def set_bit_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "part").select("p_partkey", *(F.round(sizing.set_bit_ratio_col((F.col("p_partkey") + 1) * 1000, h, 0.3), 9).alias(f"h{h}") for h in (1, 2, 3)))
+
+
+@registered(
+    "WITH u AS (SELECT lpad(CAST(p_partkey AS VARCHAR), 20, '0') AS path, CAST(p_partkey AS VARCHAR) AS name, p_name FROM part), "
+    "t AS (SELECT path, name, i - 1 AS pos, substr(p_name, i, 11) AS term, md5(p_name) AS part FROM (SELECT *, unnest(range(1, length(p_name) - 9)) AS i FROM u WHERE length(p_name) >= 11)) "
+    "SELECT name, pos, term FROM t ORDER BY md5('5:' || path || ':0:' || part || ':' || pos), path, part, pos LIMIT 100"
+)
+def positive_sample(spark: SparkSession, sf: str) -> DataFrame:
+    names = files.from_table(_table(spark, sf, "part"), "p_partkey", "p_name")
+    return workload.sample_terms(names, 11, 100, 5, "md5").select("name", "pos", F.col("term").cast("string").alias("term"))
+
+
+@registered(f"WITH {_DNA} SELECT doc_id, count(*) AS invalid FROM c WHERE contains(term, '!') GROUP BY doc_id")
+def invalid_kmers(spark: SparkSession, sf: str) -> DataFrame:
+    seqs = _spread(_table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", _dna(F.col("text")).cast("binary").alias("seq"))
+    return canonical_windows(seqs, K).where("not valid").groupBy("doc_id").agg(F.count("*").alias("invalid"))

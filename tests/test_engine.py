@@ -13,7 +13,9 @@ from sigspark.functions.random import random_sequence
 from sigspark.functions.terms import CHUNK, canonical_windows, pack_kmers, packed, unpack_kmers, unpacked, windows
 from sigspark.model import ClassicParams, CompactParams, file_type_named
 from sigspark.operators import build, search, workload
+from sigspark.cli import main
 from sigspark.plans import index, sql
+from sigspark.plans.documents import DocumentList
 from sigspark.sources import files
 from sigspark.streaming import search as streams
 
@@ -103,6 +105,9 @@ def test_files(spark, tmp_path):
     (d / "m.mfasta").write_bytes(b">a\nAC\nGT\n>b\nTTTTT\n")
     (d / "g.ctx").write_bytes(_cortex("graph", 31, letters))
     (d / "p.km_doc").write_bytes(b"HEAD:DOCUMENT" + struct.pack("<II", 1, 31) + b"pk\0DOCUMENT" + pack_kmers(letters).tobytes())
+    (d / "cut.fasta.gz").write_bytes(gzip.compress(b">h\n" + b"ACGTA" * 99 + b"\n")[:-12])
+    (d / "bad.fastq.gz").write_bytes(gzip.compress(b"@1\nACGT\n+\nIIII\n")[:12] + b"\xff" * 9)
+    (d / "zero.km_doc").write_bytes(b"HEAD:DOCUMENT" + struct.pack("<II", 1, 0) + b"pk\0DOCUMENT" + b"1234")
     (d / "ignored.csv").write_bytes(b"1,2")
     (d / "x.list").write_text("# note\n\nb.fasta\n" + str(d / "a.txt") + "\n")
     found = files.read_files(spark, str(d))
@@ -115,6 +120,18 @@ def test_files(spark, tmp_path):
         files.read_files(spark, str(d / "broken.fasta")).collect()
     with pytest.raises(ValueError):
         file_type_named("nothing")
+    letters_only = found.where("name in ('b', 'r', 'c')")
+    wrote = {r.path.rsplit("/", 1)[1]: r.n_terms for r in files.write_packed(letters_only, 5, f"file://{tmp_path}/packed").collect()}
+    assert wrote == {"b.sig_doc": 2, "r.sig_doc": 4, "c.sig_doc": 1}
+    back = files.read_files(spark, f"{tmp_path}/packed")
+    assert sorted((r.name, bytes(r.seq)) for r in back.where("seq is not null").collect()) == sorted([("b", b"ACGTA"), ("b", b"CGTAC"), ("c", b"ACGTA"), ("r", b"ACGTA"), ("r", b"CGTAC"), ("r", b"GTACG"), ("r", b"TACGT")])
+    listed = DocumentList(spark, str(d / "b.fasta"))
+    listed.add(str(d / "a.txt"))
+    assert len(listed) == 2 and [r.name for r in listed] == ["a", "b"] and listed[-1].name == "b"
+    listed.sort_by_size()
+    assert [r.name for r in listed] == ["b", "a"] and listed[0].size == 21
+    with pytest.raises(IndexError):
+        listed[2]
     (d / "q.txt").write_bytes(b">one\nAC\nGT\n\n;two\nTT\n")
     assert [(r.query_id, r.comment, bytes(r.query)) for r in files.read_queries(spark, str(d / "q.txt")).collect()] == [(0, "one", b"ACGT"), (1, "two", b"TT")]
 
@@ -197,6 +214,56 @@ def test_streams(spark, tmp_path):
     assert [(r.query_id, r.index_no, r.doc_name, r.score) for r in got] == [(7, 1, "e0001", 50)]
 
 
+def test_tools(spark, tmp_path, capsys):
+    text = [random_sequence(300 + i, i + 1) for i in range(6)]
+    (tmp_path / "in").mkdir()
+    for i, x in enumerate(text):
+        (tmp_path / "in" / f"d{i}.fasta").write_text(f">h\n{x}\n")
+
+    def run(*words):
+        main([str(w) for w in words])
+        return capsys.readouterr().out.splitlines()
+
+    found = run("doc-list", tmp_path / "in", "--file-type", "fasta")
+    assert [x.split("\t")[2] for x in found[:-1]] == [str(270 + i) for i in range(6)] and '"total": 1635' in found[-1]
+    assert run("doc-dump", tmp_path / "in" / "d0.fasta", "--no-canonicalize")[0] == "d0\t" + text[0][:31]
+    run("classic-construct", tmp_path / "in", tmp_path / "classic", "--num-hashes", 2, "--signature-size", 4000)
+    run("compact-construct", tmp_path / "in", tmp_path / "compact", "--page-size", 1)
+    for at in ("classic", "compact"):
+        assert run("query", tmp_path / at, "--query", text[2][20:120], "--limit", 1) == ["d2\t70"]
+    (tmp_path / "q").write_text(f">one\n{text[1][:50]}\n;two\n{text[4][:40]}\n{text[4][40:60]}\n")
+    assert run("query", tmp_path / "classic", "--file", tmp_path / "q", "--threshold", 1) == ["*one\t1", "d1\t20", "*two\t1", "d4\t30"]
+    with pytest.raises(SystemExit):
+        run("query", tmp_path / "classic")
+    run("classic-construct-random", tmp_path / "random", "--num-documents", 8, "--document-size", 50, "--signature-size", 500)
+    run("compact-construct-combine", tmp_path / "random", tmp_path / "joined", "--page-size", 1)
+    assert index.read(spark, f"{tmp_path}/joined").docs.count() == 8
+    assert run("print-parameters", "--num-elements", 3120) == ['{"ratio": 2.8036732520571284, "signature_size": 8748, "signature_bytes": 1093}']
+    assert run("print-kmers", "AGGAAAGTCTTTTACGCTGGGGTAAGAGTGAC") == ["AGGAAAGTCTTTTACGCTGGGGTAAGAGTGA", "GGAAAGTCTTTTACGCTGGGGTAAGAGTGAC"]
+    times, *histogram = run("benchmark-fpr", tmp_path / "classic", "--queries", 20, "--num-kmers", 30, "--warmup", 2, "--fpr-dist")
+    assert '"hashes"' in times and sum(int(x.split("\t")[1]) for x in histogram) == 20 * 6
+    run("generate-queries", tmp_path / "in", tmp_path / "made", "--positive", 5, "--negative", 5, "--true-negatives", "--size", 40)
+    made = files.read_queries(spark, f"{tmp_path}/made").collect()
+    assert sorted(len(r.query) for r in made) == [40] * 10 and sum(r.comment.startswith("negative") for r in made) == 5
+
+
+def test_one_family_for_real(spark):
+    """The default family against plain hashing of every window."""
+    docs = [random_sequence(200, i + 1).encode() for i in range(5)]
+    asked = docs[2][30:100]
+    for h in (1, 3):
+        size = 700
+        rows = [{xxhash.xxh64_intdigest(d[i : i + 31], seed=j) % size for j in range(h) for i in range(170)} for d in docs]
+        want = {f"d{n:04d}": sum(all(xxhash.xxh64_intdigest(asked[i : i + 31], seed=j) % size in r for j in range(h)) for i in range(40)) for n, r in enumerate(rows)}
+        built = build.build_classic(_docs(spark, docs), ClassicParams(num_hashes=h, signature_size=size, canonicalize=False))
+        stored = build.Tables(built.meta, built.pages, built.docs, built.bits)
+        for tables in (built, stored):
+            got = search.search(spark.createDataFrame([(0, bytearray(asked))], "query_id bigint, query binary"), [tables]).collect()
+            assert {r.doc_name: r.score for r in got} == want
+    first = search.first_found(spark.createDataFrame([(0, 0, 2, 9), (0, 0, 1, 1), (0, 0, 3, 5)], "query_id int, index_no int, doc_id int, score int"), 2).collect()
+    assert sorted((r.doc_id, r.score, r.rank) for r in first) == [(1, 1, 1), (2, 9, 2)]
+
+
 def test_empty_corpus(spark):
     none = spark.createDataFrame([], files.SCHEMA)
     asked = spark.createDataFrame([(0, bytearray(b"A" * 40))], "query_id bigint, query binary")
