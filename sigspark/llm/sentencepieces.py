@@ -28,8 +28,10 @@ from sigspark.llm.common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Remembered pairs, at most, in a worker, and parts in each of two generations: the older one is forgotten when the newer one is full.
+#: Remembered pairs, at most, in a worker.
 REMEMBERED = 100_000
+#: Remembered parts in each of two generations: the older one is forgotten when the newer one is full.
+PARTS = 200_000
 DEAD = -np.inf
 
 
@@ -170,7 +172,7 @@ class Lattice:
                     found = b"".join([self.part(s[i:j]) for i, j in zip([0, *cuts], [*cuts, len(s)])])
                 else:
                     found = np.array(self.solve(s), "<i4").tobytes()
-            if len(self.parts) > REMEMBERED:
+            if len(self.parts) > PARTS:
                 self.older, self.parts = self.parts, {"": b""}
             self.parts[s] = found
         return found
