@@ -13,10 +13,11 @@ differences of `RADIUS` bits share a block, see plan(). Work grows as n ** 1.25.
 is missed; of random pairs at 40 bits 1 to 10 of 20,000 in trials had no whole block, at 30 and at 35 bits none. As
 planned for 10**8 fingerprints, 55 of 20,000 at 40 bits had none, 1 at 35.
 
-In each bucket of a block, the distances of each 64-bit word of the fingerprints to reference
-words are tabulated once. By the triangle inequality the largest difference between two rows
-of a word's table bounds that word's distance from below, so pairs whose bounds add up to more
-than the radius are discarded and only the survivors' fingerprints are compared: in a bucket nothing is lost.
+In a bucket of more than `TOGETHER` fingerprints, the distances of all to some of them, the pivots, are tabulated
+once, and rows near the same pivot are laid side by side in tiles. By the triangle inequality the gap between two
+tiles' ranges of distances to a pivot bounds every distance between them from below, so that tiles more than the
+radius apart are never compared. In other pairs of tiles, and in smaller buckets, all pairs are compared, half of
+the bits first; tiles that lie in one component already are left out. In a bucket nothing is lost.
 A sample of the fingerprints tells buckets of more than `HOT`; they are cut into chunks by a hash of the id, and
 every two chunks meet on their own.
 """
@@ -37,7 +38,8 @@ from sigspark.llm.common import BLOB_SCHEMA, Packer, connected_components, excha
 
 WORDS = 4
 RADIUS = 40
-PIVOTS = 32
+#: Rows of a large bucket from which the distances of all its rows are tabulated.
+PIVOTS = 8
 BITS = 64 * WORDS
 #: One in so many pairs at the radius is missed.
 MISSED = 1000
@@ -47,12 +49,10 @@ HELD = 64 << 20
 HOT = 1 << 20
 #: Fingerprints of such a bucket that a sample has.
 SIGNS = 64
-#: Rows of a bucket up to which all its pairs are looked at together.
+#: Rows of a bucket up to which all its pairs are looked at together, and of a tile of larger ones.
 TOGETHER = 256
 
 SPLIT = bytes(b if b > 127 or chr(b).isdigit() or chr(b).islower() else 32 for b in range(256))
-_rng = np.random.default_rng(20240607)
-REFERENCES = _rng.integers(0, 1 << 63, (WORDS, PIVOTS), np.int64).astype(np.uint64) * np.uint64(2) + _rng.integers(0, 2, (WORDS, PIVOTS)).astype(np.uint64)
 #: A byte's bits, the highest first, each in a byte of its own.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).reshape(256, 8).copy().view("<u8").ravel()
 
@@ -159,21 +159,13 @@ def hot_keys(same: DataFrame, n: int, size: int, orders: int, hot: int) -> tuple
     return key[order], -(-count[order] * step // hot) + 1
 
 
-def pivot_table(f: np.ndarray) -> np.ndarray:
-    """(n, WORDS, PIVOTS) distances to the reference words."""
-    return np.bitwise_count(f[:, :, None] ^ REFERENCES[None]).astype(np.int8)
-
-
-def close(f: np.ndarray, pivots: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Numbers of the pairs (a, b) that are within the radius."""
-    found = []
-    for at in range(0, len(a), 1 << 16):
-        x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
-        bound = np.abs(pivots[x] - pivots[y]).max(2).sum(1, dtype=np.int32)
-        left = np.flatnonzero(bound <= RADIUS)
-        d = np.bitwise_count(f[x[left]] ^ f[y[left]]).sum(1, dtype=np.int32)
-        found.append(left[d <= RADIUS] + at)
-    return np.concatenate(found) if found else np.zeros(0, np.int64)
+def near(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of x and of y that are within the radius."""
+    half = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0])
+    half += np.bitwise_count(x[:, None, 1] ^ y[None, :, 1])
+    a, b = np.divmod(np.flatnonzero(half.ravel() <= RADIUS), len(y))
+    whole = np.bitwise_count(x[a] ^ y[b]).sum(1, dtype=np.int32) <= RADIUS
+    return a[whole], b[whole]
 
 
 def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,52 +190,43 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[other], names[label[other]]
 
 
+def tiles(f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of the rows, and for its tiles the least and the largest distance to each pivot.
+
+    Pivots are rows that lie far from each other; rows of one nearest pivot come together, by their distance to it.
+    """
+    table = np.zeros((len(f), PIVOTS), np.int16)
+    at = 0
+    for p in range(PIVOTS):
+        table[:, p] = np.bitwise_count(f ^ f[at]).sum(1, dtype=np.int16)
+        at = int(table[:, : p + 1].min(1).argmax())
+    nearest = table.argmin(1)
+    order = np.lexsort((table[np.arange(len(f)), nearest], nearest))
+    starts = np.arange(0, len(f), TOGETHER)
+    return order, np.minimum.reduceat(table[order], starts), np.maximum.reduceat(table[order], starts)
+
+
 def large_bucket(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join what all close pairs join, without looking at pairs already joined."""
-    n, pivots = len(f), pivot_table(f)
-    star = np.full(n, -1)
-    stars, a, b = [], [], []
-    rest = np.arange(n)
-    while len(rest):
-        leader, others = rest[0], rest[1:]
-        mine = others[close(f, pivots, np.full(len(others), leader), others)]
-        star[leader], star[mine] = len(stars), len(stars)
-        stars.append(np.r_[leader, mine])
-        a.append(np.full(len(mine), leader))
-        b.append(mine)
-        rest = others[star[others] < 0]
-    # members are within the radius of their leaders, so stars whose leaders are farther apart than three radii don't touch
-    leaders = f[[s[0] for s in stars]]
-    x, y = [], []
-    for i in range(1, len(stars)):
-        near = np.flatnonzero(np.bitwise_count(leaders[:i] ^ leaders[i]).sum(1, dtype=np.int32) <= 3 * RADIUS)
-        x.append(np.full(len(near), i))
-        y.append(near)
-    root = list(range(len(stars)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for i, j in zip(np.concatenate(x).tolist() if x else [], np.concatenate(y).tolist() if y else []):
-        if find(i) == find(j):
-            continue
-        big, small = sorted((stars[i], stars[j]), key=len, reverse=True)
-        # a member nearer to the other star's leader than two radii at most can touch that star
-        small = small[np.bitwise_count(f[small] ^ f[big[0]]).sum(1, dtype=np.int32) <= 2 * RADIUS]
-        big = big[np.bitwise_count(f[big] ^ f[(stars[i] if len(stars[i]) <= len(stars[j]) else stars[j])[0]]).sum(1, dtype=np.int32) <= 2 * RADIUS]
-        step = max(1, (1 << 16) // max(len(big), 1))
-        for at in range(0, len(small) if len(big) else 0, step):
-            p, q = np.repeat(small[at : at + step], len(big)), np.tile(big, len(small[at : at + step]))
-            hit = close(f, pivots, p, q)
-            if len(hit):
-                a.append(p[hit[:1]])
-                b.append(q[hit[:1]])
-                root[find(i)] = find(j)
-                break
-    return np.concatenate(a), np.concatenate(b)
+    """Edges that join what all close pairs join, without looking at tiles that can't touch or are joined already."""
+    order, low, high = tiles(f)
+    f, label = f[order], np.arange(len(f))
+    for i in range(len(low)):
+        first = slice(i * TOGETHER, (i + 1) * TOGETHER)
+        apart = np.maximum(low[i] - high[i:], low[i:] - high[i]).max(1)
+        for j in np.flatnonzero(apart <= RADIUS) + i:
+            second = slice(j * TOGETHER, (j + 1) * TOGETHER)
+            if (label[first] == label[second.start]).all() and (label[second] == label[second.start]).all():
+                continue
+            a, b = near(f[first], f[second])
+            a, b = label[a + first.start], label[b + second.start]
+            new = a != b
+            if new.any():
+                change = np.arange(len(f))
+                names, root = spanning(a[new], b[new])
+                change[names] = root
+                label = change[label]
+    other = np.flatnonzero(label != np.arange(len(f)))
+    return order[other], order[label[other]]
 
 
 def bucket_edges(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -263,13 +246,15 @@ def bucket_edges(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         i, j = np.triu_indices(k, 1)
         step = max(1, (1 << 18) // len(i))
         for at in range(0, len(first), step):
-            rows = (first[at : at + step, None] + np.arange(k)).ravel()
-            g = f[rows]
-            base = (np.arange(len(rows) // k) * k)[:, None]
-            a, b = (base + i).ravel(), (base + j).ravel()
-            hit = close(g, pivot_table(g), a, b)
-            out_a.append(ids[rows[a[hit]]])
-            out_b.append(ids[rows[b[hit]]])
+            rows = first[at : at + step, None] + np.arange(k)
+            g = f[rows, :2]
+            half = np.bitwise_count(g[:, i, 0] ^ g[:, j, 0])
+            half += np.bitwise_count(g[:, i, 1] ^ g[:, j, 1])
+            bucket, pair = np.divmod(np.flatnonzero(half.ravel() <= RADIUS), len(i))
+            a, b = rows[bucket, i[pair]], rows[bucket, j[pair]]
+            hit = np.bitwise_count(f[a] ^ f[b]).sum(1, dtype=np.int32) <= RADIUS
+            out_a.append(ids[a[hit]])
+            out_b.append(ids[b[hit]])
     if not out_a:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return spanning(np.concatenate(out_a), np.concatenate(out_b))

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import re
+import time
 
 import corpus_pipeline
 import numpy as np
@@ -102,6 +103,16 @@ def test_large_buckets_of_fingerprints_equal_all_pairs():
     assert parts(*simhash.large_bucket(f)) == parts(a, b)
 
 
+def test_large_bucket_of_unrelated_fingerprints_is_quick():
+    rng = np.random.default_rng(11)
+    f = np.packbits(rng.random((2000, 256)) < 0.38, axis=1).view(np.uint64)
+    f[1500:] = f[:500] ^ (np.uint64(1) << rng.integers(0, 64, (500, 4)).astype(np.uint64))
+    began = time.process_time()
+    a, b = simhash.large_bucket(f)
+    assert time.process_time() - began < 5
+    assert sorted(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist())) == [(i, i + 1500) for i in range(500)]
+
+
 def test_hot_bucket_of_fingerprints_is_cut_without_loss(spark, monkeypatch):
     rng = np.random.default_rng(9)
     base = rng.integers(0, 2**63, (1, 4))
