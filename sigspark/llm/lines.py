@@ -10,7 +10,8 @@ with their text and joined where the exact Jaccard similarity of their shingle s
 Equal lines are collapsed by a 64-bit hash before the bands (a polynomial modulo 2**64, for which unequal
 lines of one hash can be made on purpose). At a similarity of 0.8 a pair is a candidate with probability
 0.95, at 0.85 with 0.99; in a bucket nothing is lost, see joined(). A bucket of more than `HOT` lines is
-cut into chunks by a hash of the line, and every two chunks meet in a task of their own.
+cut into chunks by a hash of the line, and every two chunks meet in a task of their own. Within a bucket bit sketches
+of the sets rule out pairs that can't be similar; what they leave is compared exactly.
 """
 
 from __future__ import annotations
@@ -33,6 +34,12 @@ HOT = 5000
 FILTER_BITS = (1 << 20, 1 << 26)
 #: Lines that a task remembers to have sent.
 REMEMBERED = 1 << 16
+#: Shingles in sets that a task holds at once, but for two lines'.
+KEPT = 1 << 18
+#: Bytes of lines that are sketched at once, but for a bucket's.
+SKETCHED = 1 << 18
+#: Bytes of text that a task cuts into lines at once: what numpy makes of it stays near the CPU.
+SLICE = 1 << 18
 
 _BINS = BANDS * ROWS
 _NONE = np.uint32(0xFFFFFFFF)
@@ -129,50 +136,71 @@ def shingles(text: bytes) -> set[int]:
     return set(shingle_codes(characters(np.frombuffer(text, np.uint8))).tolist())
 
 
+def sketches(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(lines, words): bits of which every shingle of a line sets one."""
+    bits = min(1 << 13, max(1 << 8, 2 << int(sizes.max(initial=1)).bit_length()))
+    out = np.zeros((len(sizes), bits >> 6), np.uint64)
+    slot = ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - bits.bit_length())).astype(np.int64)
+    step = max(1, (1 << 22) // bits)
+    for at in range(0, len(sizes), step):
+        n = sizes[at : at + step]
+        on = np.zeros((len(n), bits), bool)
+        line = np.repeat(np.arange(len(n)), n)
+        on[line, slot[np.arange(len(line)) + np.repeat(starts[at : at + step] - (np.cumsum(n) - n), n)]] = True
+        out[at : at + step] = np.packbits(on, axis=1).view(np.uint64)
+    return out
+
+
 def joined(sets: list[set[int]]) -> list[tuple[int, int]]:
-    """Edges that join what all pairs of similarity SIMILAR or more join.
+    """Edges that join what all pairs of similarity SIMILAR or more join."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    codes = np.fromiter((x for s in sets for x in s), np.uint64, int(sizes.sum()))
+    return joined_codes(codes, np.cumsum(sizes) - sizes, sizes, [0, len(sets)])
+
+
+def joined_codes(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, cuts: list[int]) -> list[tuple[int, int]]:
+    """Edges between lines of one bucket that join what all its pairs of similarity SIMILAR or more join.
 
-    Jaccard distance is a metric and the members of a star lie within the radius of its leader, so a
-    set farther than two radii from the leader is near none of them.
+    Line i has the shingles codes[starts[i] :][: sizes[i]], perhaps repeated; bucket k has the lines cuts[k] to
+    cuts[k + 1]. Where two sketches differ in a bit, one line has a shingle that the other hasn't. A similar pair has
+    at most a share of all its shingles that aren't common, so that more different bits rule a pair out; nothing else
+    does. The others are compared set by set unless they are joined already.
     """
-    radius = 1 - SIMILAR + 1e-12
+    marks = sketches(codes, starts, sizes)
+    label = np.arange(len(sizes))
+    sets: dict[int, set[int]] = {}
+    kept = 0
     edges: list[tuple[int, int]] = []
-    stars: list[list[int]] = []
-    root: list[int] = []
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    def distance(i: int, j: int) -> float:
-        both = len(sets[i] & sets[j])
-        return 1 - both / (len(sets[i]) + len(sets[j]) - both)
-
-    for i, mine in enumerate(sets):
-        home, linked = -1, []
-        for k, star in enumerate(stars):
-            if linked and any(find(k) == find(q) for q in linked):
-                continue
-            leader = sets[star[0]]
-            if 1 - min(len(mine), len(leader)) / max(len(mine), len(leader)) > 2 * radius:
-                continue
-            d = distance(i, star[0])
-            near = star[0] if d <= radius else next((j for j in star[1:] if distance(i, j) <= radius), -1) if d <= 2 * radius else -1
-            if near >= 0:
-                edges.append((near, i))
-                if d <= radius and home < 0:
-                    home = k
-                linked.append(k)
-        if home < 0:
-            home = len(stars)
-            stars.append([i])
-            root.append(home)
-        else:
-            stars[home].append(i)
-        for k in linked:
-            root[find(k)] = find(home)
+    share = (1 - SIMILAR) / (1 + SIMILAR) + 1e-9
+
+    def of(i: int) -> set[int]:
+        nonlocal kept
+        found = sets.get(i)
+        if found is None:
+            while sets and kept > KEPT:
+                kept -= len(sets.pop(next(iter(sets))))
+            found = sets[i] = set(codes[starts[i] : starts[i] + sizes[i]].tolist())
+            kept += len(found)
+        return found
+
+    follows = np.bitwise_count(marks[:-1] ^ marks[1:]).sum(1, dtype=np.int32) <= share * (sizes[:-1] + sizes[1:])
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        for j in range(a + 1, b):
+            if j == a + 1:
+                near = [a] if follows[a] else []
+            else:
+                apart = np.bitwise_count(marks[a:j] ^ marks[j]).sum(1, dtype=np.int32)
+                near = np.flatnonzero(apart <= share * (sizes[a:j] + sizes[j]))
+                near = (near[np.argsort(apart[near], kind="stable")] + a).tolist()
+            for i in near:
+                if label[i] == label[j]:
+                    continue
+                x, y = of(i), of(j)
+                both = len(x & y)
+                if both >= SIMILAR * (len(x) + len(y) - both) - 1e-9:
+                    edges.append((i, j))
+                    mine = label[a : j + 1]
+                    mine[mine == label[j]] = label[i]
     return edges
 
 
@@ -222,7 +250,7 @@ def _edges(rows: DataFrame, hot: int) -> DataFrame:
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, lines = Packer(parts), Lines()
         for batch in batches:
-            for _, data, offsets in text_slices(batch.column(0)):
+            for _, data, offsets in text_slices(batch.column(0), SLICE):
                 lines.load(data, offsets)
                 _, one = np.unique(lines.hash, return_index=True)
                 one = np.sort(one[lines.last[one] - lines.first[one] >= SHINGLE])
@@ -260,7 +288,7 @@ def _edges(rows: DataFrame, hot: int) -> DataFrame:
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines, wanted, before = Lines(), sent.value, set()
         for batch in batches:
-            for _, data, offsets in text_slices(batch.column(0)):
+            for _, data, offsets in text_slices(batch.column(0), SLICE):
                 lines.load(data, offsets)
                 h, one = np.unique(lines.hash, return_index=True)
                 slot = _slots(h, bits)
@@ -274,26 +302,28 @@ def _edges(rows: DataFrame, hot: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(h[hit].view(np.int64)), pa.array(texts, pa.binary())], ["line", "content"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(members: dict[int, bytes]) -> tuple[list[int], list[int]]:
-            names = sorted(members)
-            e = joined([shingles(members[n]) for n in names])
-            return [names[i] for i, _ in e], [names[j] for _, j in e]
-
-        now, members = None, {}
+        def solve() -> pa.RecordBatch:
+            whole, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+            points = characters(whole)
+            if len(points) < len(whole):
+                ends = np.r_[0, np.cumsum((whole & 0xC0) != 0x80)][ends]
+            e = joined_codes(shingle_codes(points), ends[:-1], np.diff(ends) - (SHINGLE - 1), [*cuts, len(names)])
+            return pa.RecordBatch.from_arrays([pa.array([names[i] for i, _ in e], pa.int64()), pa.array([names[j] for _, j in e], pa.int64())], ["a", "b"])
+
+        now, names, texts, cuts, size = None, [], [], [], 0
         for batch in batches:
-            a, b = [], []
             for bucket, cell, line, content in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if (bucket, cell) != now:
-                    if len(members) > 1:
-                        x, y = solve(members)
-                        a += x
-                        b += y
-                    now, members = (bucket, cell), {}
-                members[line] = content
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-        if len(members) > 1:
-            x, y = solve(members)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+                    if size > SKETCHED:
+                        yield solve()
+                        names, texts, cuts, size = [], [], [], 0
+                    now = (bucket, cell)
+                    cuts.append(len(names))
+                names.append(line)
+                texts.append(content)
+                size += len(content)
+        if names:
+            yield solve()
 
     texts = rows.select("text").mapInArrow(fetch, "line bigint, content binary").dropDuplicates(["line"])
     met = chunk_pairs(found, hot).join(texts, "line").select("bucket", "cell", "line", "content")
@@ -320,7 +350,7 @@ def _duplicates(rows: DataFrame, hot: int) -> DataFrame:
         lines = Lines()
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for row, data, offsets in text_slices(batch.column(1)):
+            for row, data, offsets in text_slices(batch.column(1), SLICE):
                 lines.load(data, offsets)
                 yield pa.RecordBatch.from_arrays([pa.array(lines.hash.view(np.int64)), pa.array(ids[row + lines.text]), pa.array(lines.number)], ["hash", "doc_id", "line"])
 

@@ -75,6 +75,16 @@ def test_hot_bucket_of_lines_is_cut_without_loss(spark):
     assert met[2, 0] == {0, 1, 2}
 
 
+def test_large_bucket_of_unlike_lines_is_quick():
+    rng = np.random.default_rng(12)
+    sets = [set(rng.choice(8000, 700, replace=False).tolist()) for _ in range(900)]
+    sets += [s ^ set(rng.choice(8000, 60, replace=False).tolist()) for s in sets[:50]]
+    began = time.process_time()
+    edges = lines.joined(sets)
+    assert time.process_time() - began < 6
+    assert sorted(edges) == [(i, i + 900) for i in range(50)]
+
+
 def test_shingles_are_characters():
     a, b = "政府今天宣布了新的措施以保护环境和经济发展", "政府今天宣布了新的措施以保护环境和经济発展"
     assert len(lines.shingles(a.encode()) & lines.shingles(b.encode())) == len(a) - 4 - 2
