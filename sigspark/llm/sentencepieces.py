@@ -9,7 +9,8 @@ Texts of more than `chunk` characters are split. Every chunk yields the max-plus
 the states of its left cut to those of its right cut; the matrices of a text are combined
 associatively, which fixes the state at each cut, and each chunk is then backtraced alone.
 Within a chunk, no piece spans a word start or a character outside the vocabulary, so the
-lattice falls apart there, and the parts are remembered by their text.
+lattice falls apart there, and the parts are remembered by their text. Short parts that are new in
+a batch of texts are merged all at once, by rounds over an array of their symbols.
 """
 
 from __future__ import annotations
@@ -31,8 +32,14 @@ SPACE = "▁"
 #: Remembered pairs, at most, in a worker.
 REMEMBERED = 100_000
 #: Remembered parts in each of two generations: the older one is forgotten when the newer one is full.
-PARTS = 200_000
+PARTS = 100_000
+#: Characters of parts, at most, that are merged many at once.
+SHORT = 48
 DEAD = -np.inf
+#: Symbols: ids of pieces, and from here on code points of characters that are none.
+OUTSIDE = 1 << 20
+EMPTY = -1
+NEVER = np.int32((1 << 31) - 1)
 
 
 def read_pieces(path: str) -> tuple[dict[str, tuple[int, float]], list[bytes | str]]:
@@ -79,6 +86,7 @@ class Lattice:
         self.older: dict[str, bytes] = {}
         #: Neighbouring characters of some piece. Others part a text: nothing is merged across them.
         self.inner = {p[i : i + 2] for p in vocabulary for i in range(len(p) - 1)}
+        self._number_merges()
         self.breaks = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
     def merge(self, s: str) -> list[str]:
@@ -94,6 +102,77 @@ class Lattice:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
+    def _number_merges(self) -> None:
+        """Sorted pairs of symbols that make a piece, its place in the order of merging, and its id. A symbol is a piece or a character outside."""
+        ranks = {score: r for r, score in enumerate(sorted({score for _, score in self.vocabulary.values()}, reverse=True))}
+        found = []
+        for p, (number, score) in self.vocabulary.items():
+            for i in range(1, len(p)):
+                a, b = (self.numbers.get(x, ord(x) + OUTSIDE if len(x) == 1 else -1) for x in (p[:i], p[i:]))
+                if a >= 0 and b >= 0:
+                    found.append((a << 22 | b, ranks[score], number))
+        found.append((1 << 62, NEVER, 0))
+        keys, order, made = (np.array(x, np.int64) for x in zip(*sorted(found)))
+        self.merge_keys, self.merge_ranks, self.merge_ids = keys, order.astype(np.int32), made.astype(np.int32)
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For pairs of symbols, where they are in the table and their ranks."""
+        key = a.astype(np.int64) << 22 | b
+        at = np.searchsorted(self.merge_keys, key)
+        return at, np.where(self.merge_keys[at] == key, self.merge_ranks[at], NEVER)
+
+    def merge_all(self, words: list[str]) -> list[bytes]:
+        """Ids of parts of 1 to SHORT characters, as merge() has them: in each round one merge in every part that has any."""
+        size = np.array([len(w) for w in words])
+        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        letters, which = np.unique(points, return_inverse=True)
+        symbols = np.array([self.numbers.get(chr(c), c + OUTSIDE) for c in letters.tolist()], np.int32)[which]
+        wide = int(size.max())
+        column = np.arange(wide)
+        s = np.full((len(words), wide + 1), EMPTY, np.int32)
+        s[:, :-1][column < size[:, None]] = symbols
+        rank = np.full((len(words), wide), NEVER, np.int32)
+        pair = column < size[:, None] - 1
+        rank[pair] = self._ranks(s[:, :-1][pair], s[:, 1:][pair])[1]
+        out, rows = np.full((len(words), wide), EMPTY, np.int32), np.arange(len(words))
+        while len(rows):
+            k = rank.argmin(1)
+            over = rank[np.arange(len(rows)), k] == NEVER
+            if over.any():
+                out[rows[over], : s.shape[1] - 1] = s[over, :-1]
+                left = ~over
+                rows, s, rank, k = rows[left], s[left], rank[left], k[left]
+                continue
+            every = np.arange(len(rows))
+            new = self.merge_ids[self._ranks(s[every, k], s[every, k + 1])[0]]
+            shift = np.arange(s.shape[1] - 1)
+            s = np.take_along_axis(s, shift + (shift > k[:, None]), 1)  # one symbol less, and still an empty one behind
+            rank = np.take_along_axis(rank, shift[:-1] + (shift[:-1] > k[:, None]), 1)
+            s[every, k] = new
+            s = np.concatenate([s, np.full((len(s), 1), EMPTY, np.int32)], axis=1) if s.shape[1] == 1 else s
+            for at, some in ((k, k < rank.shape[1]), (k - 1, k > 0)):
+                r = every[some]
+                rank[r, at[some]] = self._ranks(s[r, at[some]], s[r, at[some] + 1])[1]
+        kept = out != EMPTY
+        flat = out[kept]
+        outside = (flat >= OUTSIDE).any() and (out >= OUTSIDE).any(1)
+        ends, whole = (4 * np.cumsum(kept.sum(1))).tolist(), flat.astype("<i4").tobytes()
+        found = [whole[a:b] for a, b in zip([0, *ends], ends)]
+        for i in np.flatnonzero(outside).tolist():
+            ids = [x for t in out[i][kept[i]].tolist() for x in ([t] if t < OUTSIDE else [self.bytes[b] for b in chr(t - OUTSIDE).encode()])]
+            found[i] = np.array(ids, "<i4").tobytes()
+        return found
+
+    def learn(self, parts: set[str]) -> None:
+        """Remember the short ones of these in the newer generation."""
+        if len(self.parts) > PARTS:
+            self.older, self.parts = self.parts, {"": b""}
+        new = [p for p in parts if len(p) <= SHORT and p not in self.parts]
+        self.parts.update((p, self.older[p]) for p in new if p in self.older)
+        new = sorted((p for p in new if p not in self.parts), key=len)
+        for at in range(0, len(new), 4096):
+            self.parts.update(zip(new[at : at + 4096], self.merge_all(new[at : at + 4096])))
+
     def compatible(self, a: str, b: str) -> bool:
         """a may be empty: then, whether b is an encoding at all."""
         found = self.pairs.get((a, b))
@@ -192,19 +271,22 @@ class Lattice:
                 at = i + 1
         return [*out, word[at:]] if at < len(word) else out
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a text as 32-bit numbers."""
-        if not text:
-            return b""
+    def parts_of(self, text: str) -> list[str]:
+        """The parts of a text that isn't empty."""
         if "  " in text or SPACE in text or text[0] == " ":
-            parts = self.split(SPACE + text.replace(" ", SPACE))
-        else:  # the same, faster; a line break is outside the vocabulary or has its own part
-            s = SPACE + text.replace(" ", " " + SPACE)
-            if "\n" in s and "\n" not in self.letters:
-                s = s.replace("\n", " \n ")
-            parts = s.split(" ")
+            return self.split(SPACE + text.replace(" ", SPACE))
+        # the same, faster; a line break is outside the vocabulary or has its own part
+        s = SPACE + text.replace(" ", " " + SPACE)
+        if "\n" in s and "\n" not in self.letters:
+            s = s.replace("\n", " \n ")
+        return s.split(" ")
+
+    def encode(self, texts: list[str | None]) -> list[bytes | None]:
+        """Ids of texts as 32-bit numbers."""
+        cut = [self.parts_of(t) if t else [] for t in texts]
+        self.learn(set().union(*cut))
         get, part = self.parts.get, self.part
-        return b"".join([get(p) or part(p) for p in parts])
+        return [None if t is None else b"".join([get(p) or part(p) for p in parts]) for t, parts in zip(texts, cut)]
 
     def decode(self, ids: list[int]) -> str:
         if not self.high.isdisjoint(ids):
@@ -283,7 +365,9 @@ class Lattice:
             return self.ids(self._back(s, [a], left, right, end, b[0]))
         head = self._back(s, [a], left, spots[0], spots[0], "")
         tail = self._back(s, [("", 0)], spots[1], right, end, b[0])
-        inner = np.frombuffer(b"".join(map(self.part, self.split(s[spots[0] : spots[1]]))), "<i4").tolist()
+        parts = self.split(s[spots[0] : spots[1]])
+        self.learn(set(parts))
+        inner = np.frombuffer(b"".join(map(self.part, parts)), "<i4").tolist()
         return (*self.ids(head), *inner, *self.ids(tail))
 
     def _back(self, s: str, entries: list[tuple[str, int]], left: int, right: int, end: int, last: str) -> list[str]:
@@ -388,7 +472,7 @@ def encode(docs: DataFrame, path: str = MODEL, chunk: int = 1 << 15) -> DataFram
             for at in range(0, batch.num_rows, 500):
                 b = batch.slice(at, 500)
                 texts = b.column(1).to_pylist()
-                yield finish(b.column(0), [None if t is None else m.encode(t) for t in texts], texts, m)
+                yield finish(b.column(0), m.encode(texts), texts, m)
 
     short = rows.where(F.col("text").isNull() | ~long).mapInArrow(small, schema)
 

@@ -12,7 +12,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from sigspark.llm import decontaminate, langid, lines, neighbours, repeats, simhash, toxicity, urls
+from sigspark.llm import decontaminate, langid, lines, neighbours, repeats, sentencepieces, simhash, toxicity, urls
 from sigspark.llm.common import BLOB_SCHEMA, Packer, exchange, text_slices, unpacked
 
 WORDS = [f"w{i}" for i in range(4000)]
@@ -94,6 +94,20 @@ def test_shingles_are_characters():
     assert (made.last - made.first).tolist() == [len(a) + 1, 9]
 
 
+def test_short_parts_are_merged_at_once(monkeypatch):
+    monkeypatch.setattr(sentencepieces, "PARTS", 500)
+    m = sentencepieces.Lattice(*sentencepieces.read_pieces(sentencepieces.MODEL))
+    rng = np.random.default_rng(13)
+    texts = ["".join(rng.choice(list("aeiou\u00df\u00f1\u653f\u2581 \n\tthnzq,.%#0\U0001f642"), rng.integers(1, 90))) for _ in range(1500)]
+    monkeypatch.setattr(m, "solve", lambda s: pytest.fail("one by one") if len(s) <= sentencepieces.SHORT else sentencepieces.Lattice.solve(m, s))
+    got = [None, b""] + [x for at in range(0, 1500, 100) for x in m.encode(texts[at : at + 100])]
+    assert got[:2] == m.encode([None, ""])
+    monkeypatch.undo()
+    for text, ids in zip(texts, got[2:]):
+        parts = m.split(sentencepieces.SPACE + text.replace(" ", sentencepieces.SPACE))
+        assert tuple(np.frombuffer(ids, "<i4").tolist()) == m.ids(x for p in parts for x in m.merge(p))
+
+
 def test_large_buckets_of_fingerprints_equal_all_pairs():
     rng = np.random.default_rng(3)
     centres = rng.integers(0, 2**63, (6, 4)).astype(np.uint64)
