@@ -1,3 +1,4 @@
+import os
 import shutil
 import subprocess
 import sys
@@ -20,3 +21,11 @@ def test_entry_without_the_training_data_operators(tmp_path, gone):
     code = "import __spark_entry__ as e; assert len(e.queries()) >= 40 and set(e.oracle_sql()) <= set(e.queries()); print(*e.queries())"
     names = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True).stdout.split()
     assert "pipeline" not in names and "search_classic" in names
+
+
+def test_entry_takes_no_pipeline_of_another_folder(tmp_path):
+    shutil.copy(REPO / "__spark_entry__.py", tmp_path)
+    shutil.copytree(REPO / "sigspark", tmp_path / "sigspark")
+    env = os.environ | {"PYTHONPATH": str(REPO)}
+    code = "import __spark_entry__ as e; assert 'pipeline' not in e.queries() and 'op2_lines' in e.queries()"
+    subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env=env, check=True)
