@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,10 @@ DEAD = -np.inf
 OUTSIDE = 1 << 20
 EMPTY = -1
 NEVER = np.int32((1 << 31) - 1)
+#: Slots of the table of merges, as a power of two, at least; keys are spread over them by this odd factor.
+SLOTS, SPREAD = 18, np.uint64(0x9E3779B97F4A7C15)
+#: A slot without a key.
+FREE = -2
 
 
 def read_pieces(path: str) -> tuple[dict[str, tuple[int, float]], list[bytes | str]]:
@@ -103,7 +108,7 @@ class Lattice:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def _number_merges(self) -> None:
-        """Sorted pairs of symbols that make a piece, its place in the order of merging, and its id. A symbol is a piece or a character outside."""
+        """A hash table of pairs of symbols that make a piece: its place in the order of merging, times 64, and its id. A symbol is a piece or a character outside."""
         ranks = {score: r for r, score in enumerate(sorted({score for _, score in self.vocabulary.values()}, reverse=True))}
         found = []
         for p, (number, score) in self.vocabulary.items():
@@ -111,48 +116,77 @@ class Lattice:
                 a, b = (self.numbers.get(x, ord(x) + OUTSIDE if len(x) == 1 else -1) for x in (p[:i], p[i:]))
                 if a >= 0 and b >= 0:
                     found.append((a << 22 | b, ranks[score], number))
-        found.append((1 << 62, NEVER, 0))
-        keys, order, made = (np.array(x, np.int64) for x in zip(*sorted(found)))
-        self.merge_keys, self.merge_ranks, self.merge_ids = keys, order.astype(np.int32), made.astype(np.int32)
+        keys, order, made = np.array(found, np.int64).reshape(-1, 3).T
+        bits = max(SLOTS, len(keys).bit_length() + 2)
+        #: What is left of a key's product is its slot.
+        self.shift = np.uint64(64 - bits)
+        self.merge_keys = np.full(1 << bits, FREE, np.int64)
+        self.merge_ranks, self.merge_ids = np.full(1 << bits, NEVER, np.int32), np.zeros(1 << bits, np.int32)
+        slot, left = self._home(keys), np.arange(len(keys))
+        while len(left):
+            at, first = np.unique(slot[left], return_index=True)
+            free = self.merge_keys[at] == FREE
+            at, put = at[free], left[first[free]]
+            self.merge_keys[at], self.merge_ranks[at], self.merge_ids[at] = keys[put], order[put] << 6, made[put]
+            left = np.setdiff1d(left, put)
+            slot[left] = slot[left] + 1 & len(self.merge_keys) - 1
+        #: The symbol of each code point.
+        self.symbols = np.arange(OUTSIDE, OUTSIDE + 0x110000, dtype=np.int32)
+        for c in self.numbers:
+            if len(c) == 1:
+                self.symbols[ord(c)] = self.numbers[c]
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        """The slot where a search for these keys begins."""
+        return (keys.astype(np.uint64) * SPREAD >> self.shift).astype(np.int64)
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For pairs of symbols, where they are in the table and their ranks."""
+        """For pairs of symbols, their ranks times 64 and what they make; a symbol may be EMPTY."""
         key = a.astype(np.int64) << 22 | b
-        at = np.searchsorted(self.merge_keys, key)
-        return at, np.where(self.merge_keys[at] == key, self.merge_ranks[at], NEVER)
+        slot = self._home(key)
+        met = self.merge_keys.take(slot)
+        on = np.flatnonzero((met != key) & (met != FREE))
+        while len(on):
+            slot[on] = at = slot[on] + 1 & len(self.merge_keys) - 1
+            met = self.merge_keys.take(at)
+            on = on[(met != key[on]) & (met != FREE)]
+        return self.merge_ranks.take(slot), self.merge_ids.take(slot)
 
     def merge_all(self, words: list[str]) -> list[bytes]:
-        """Ids of parts of 1 to SHORT characters, as merge() has them: in each round one merge in every part that has any."""
-        size = np.array([len(w) for w in words])
-        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-        letters, which = np.unique(points, return_inverse=True)
-        symbols = np.array([self.numbers.get(chr(c), c + OUTSIDE) for c in letters.tolist()], np.int32)[which]
-        wide = int(size.max())
-        column = np.arange(wide)
-        s = np.full((len(words), wide + 1), EMPTY, np.int32)
-        s[:, :-1][column < size[:, None]] = symbols
-        rank = np.full((len(words), wide), NEVER, np.int32)
-        pair = column < size[:, None] - 1
-        rank[pair] = self._ranks(s[:, :-1][pair], s[:, 1:][pair])[1]
-        out, rows = np.full((len(words), wide), EMPTY, np.int32), np.arange(len(words))
-        while len(rows):
-            k = rank.argmin(1)
-            over = rank[np.arange(len(rows)), k] == NEVER
-            if over.any():
-                out[rows[over], : s.shape[1] - 1] = s[over, :-1]
-                left = ~over
-                rows, s, rank, k = rows[left], s[left], rank[left], k[left]
-                continue
-            every = np.arange(len(rows))
-            new = self.merge_ids[self._ranks(s[every, k], s[every, k + 1])[0]]
-            shift = np.arange(s.shape[1] - 1)
-            s = np.take_along_axis(s, shift + (shift > k[:, None]), 1)  # one symbol less, and still an empty one behind
-            rank = np.take_along_axis(rank, shift[:-1] + (shift[:-1] > k[:, None]), 1)
-            s[every, k] = new
-            s = np.concatenate([s, np.full((len(s), 1), EMPTY, np.int32)], axis=1) if s.shape[1] == 1 else s
-            for at, some in ((k, k < rank.shape[1]), (k - 1, k > 0)):
-                r = every[some]
-                rank[r, at[some]] = self._ranks(s[r, at[some]], s[r, at[some] + 1])[1]
+        """Ids of parts of 1 to SHORT characters, as merge() has them: in each round one merge in every part that has any.
+
+        Symbol c of part w is at c * n + w; each part's symbols and an empty one, the last, are linked in a ring.
+        """
+        n = len(words)
+        size = np.fromiter(map(len, words), np.int64, n)
+        symbols = self.symbols.take(np.frombuffer("".join(words).encode("utf-32-le"), np.uint32))
+        wide, row = int(size.max()), np.repeat(np.arange(n), size)
+        column = np.repeat(np.arange(wide + 1, dtype=np.int32), n)
+        place = (np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)) * n + row
+        s, end = np.full((wide + 1) * n, EMPTY, np.int32), wide * n + np.arange(n)
+        s[place] = symbols
+        after, before = np.arange(n, (wide + 2) * n), np.arange(-n, wide * n)
+        after[(size - 1) * n + np.arange(n)] = end
+        before[:n] = end
+        rank, made = np.full((wide + 1) * n, NEVER, np.int32), np.zeros((wide + 1) * n, np.int32)
+        pair = np.flatnonzero(row[1:] == row[:-1])
+        at = place[pair]
+        found, made[at] = self._ranks(symbols[pair], symbols[pair + 1])
+        rank[at] = found | column.take(at)  # of equals the leftmost is least; NEVER stays
+        while True:
+            best = rank.reshape(-1, n).min(0)
+            which = np.flatnonzero(best != NEVER)
+            if not len(which):
+                break
+            i = (best.take(which) & 63) * np.int64(n) + which
+            new, gone, left = made.take(i), after.take(i), before.take(i)
+            right = after.take(gone)
+            s[i], s[gone], rank[gone] = new, EMPTY, NEVER
+            after[i], before[right] = right, i
+            at = np.concatenate([left, i])
+            found, made[at] = self._ranks(np.concatenate([s.take(left), new]), np.concatenate([new, s.take(right)]))
+            rank[at] = found | column.take(at)
+        out = np.ascontiguousarray(s.reshape(-1, n).T)
         kept = out != EMPTY
         flat = out[kept]
         outside = (flat >= OUTSIDE).any() and (out >= OUTSIDE).any(1)
@@ -167,9 +201,11 @@ class Lattice:
         """Remember the short ones of these in the newer generation."""
         if len(self.parts) > PARTS:
             self.older, self.parts = self.parts, {"": b""}
-        new = [p for p in parts if len(p) <= SHORT and p not in self.parts]
-        self.parts.update((p, self.older[p]) for p in new if p in self.older)
-        new = sorted((p for p in new if p not in self.parts), key=len)
+        new = parts.difference(self.parts)
+        known = list(self.older.keys() & new)
+        self.parts.update(zip(known, map(self.older.__getitem__, known)))
+        new.difference_update(known)
+        new = sorted((p for p in new if len(p) <= SHORT), key=len)
         for at in range(0, len(new), 4096):
             self.parts.update(zip(new[at : at + 4096], self.merge_all(new[at : at + 4096])))
 
@@ -275,8 +311,14 @@ class Lattice:
         """The parts of a text that isn't empty."""
         if "  " in text or SPACE in text or text[0] == " ":
             return self.split(SPACE + text.replace(" ", SPACE))
-        # the same, faster; a line break is outside the vocabulary or has its own part
-        s = SPACE + text.replace(" ", " " + SPACE)
+        return self._spaced(SPACE + text.replace(" ", " " + SPACE))
+
+    def parts_within(self, s: str) -> list[str]:
+        """The parts of escaped text."""
+        return self.split(s) if SPACE + SPACE in s else self._spaced(s.replace(SPACE, " " + SPACE))
+
+    def _spaced(self, s: str) -> list[str]:
+        """As split(), faster, of escaped text with a space put before each word start; a line break is outside the vocabulary or has its own part."""
         if "\n" in s and "\n" not in self.letters:
             s = s.replace("\n", " \n ")
         return s.split(" ")
@@ -285,8 +327,14 @@ class Lattice:
         """Ids of texts as 32-bit numbers."""
         cut = [self.parts_of(t) if t else [] for t in texts]
         self.learn(set().union(*cut))
-        get, part = self.parts.get, self.part
-        return [None if t is None else b"".join([get(p) or part(p) for p in parts]) for t, parts in zip(texts, cut)]
+        return [None if t is None else self._joined(parts) for t, parts in zip(texts, cut)]
+
+    def _joined(self, parts: list[str]) -> bytes:
+        """Ids of parts, most of which are remembered."""
+        try:
+            return b"".join(map(self.parts.__getitem__, parts))
+        except KeyError:
+            return b"".join(map(self.part, parts))
 
     def decode(self, ids: list[int]) -> str:
         if not self.high.isdisjoint(ids):
@@ -307,11 +355,11 @@ class Lattice:
             out += [(t, over) for t in self.ends_at(s, cut + over) if len(t) > over and self.compatible("", t)]
         return out
 
-    def walk(self, s: str, entries: list[tuple[str, int]], left: int, right: int) -> list[dict[str, int]]:
+    def walk(self, s: str, entries: list[tuple[str, int]], left: int, right: int) -> dict[int, dict[str, int]]:
         """For each end position, the last pieces and, as a bit mask, the entries that reach them.
 
         Only pieces that begin before `right` are taken."""
-        alive: list[dict[str, int]] = [{} for _ in range(len(s) + 1)]
+        alive: dict[int, dict[str, int]] = defaultdict(dict)
         for k, (t, over) in enumerate(entries):
             alive[left + over][t] = alive[left + over].get(t, 0) | 1 << k
         for i in range(left + 1, min(len(s), right + self.longest - 1) + 1):
@@ -328,8 +376,13 @@ class Lattice:
 
     def middle(self, s: str, left: int, right: int) -> tuple[int, int] | None:
         """First and last place strictly within the chunk where no piece spans."""
-        spots = [i for i in range(left + 1, right) if (s[i] == SPACE) != (s[i - 1] == SPACE) and s[i] == SPACE or s[i] not in self.letters or s[i - 1] not in self.letters]
-        return (spots[0], spots[-1]) if spots else None
+        letters = self.letters
+
+        def spot(i: int) -> bool:
+            return s[i] == SPACE != s[i - 1] or s[i] not in letters or s[i - 1] not in letters
+
+        first = next(filter(spot, range(left + 1, right)), None)
+        return None if first is None else (first, next(filter(spot, range(right - 1, left, -1))))
 
     def matrix(self, s: str, left: int, right: int) -> np.ndarray:
         """Max-plus matrix from the states at `left` to those at `right`."""
@@ -356,19 +409,19 @@ class Lattice:
             mask |= m
         return mask
 
-    def backtrace(self, s: str, left: int, right: int, entry: int, exit: int) -> tuple[int, ...]:
-        """Ids of the pieces that begin within the chunk, given the states at both cuts."""
+    def backtrace(self, s: str, left: int, right: int, entry: int, exit: int) -> bytes:
+        """Ids, as 32-bit numbers, of the pieces that begin within the chunk, given the states at both cuts."""
         a, b = self.states(s, left)[entry], self.states(s, right)[exit]
         spots = self.middle(s, left, right)
         end = right + b[1]
         if spots is None:
-            return self.ids(self._back(s, [a], left, right, end, b[0]))
+            return np.array(self.ids(self._back(s, [a], left, right, end, b[0])), "<i4").tobytes()
         head = self._back(s, [a], left, spots[0], spots[0], "")
         tail = self._back(s, [("", 0)], spots[1], right, end, b[0])
-        parts = self.split(s[spots[0] : spots[1]])
+        parts = self.parts_within(s[spots[0] : spots[1]])
         self.learn(set(parts))
-        inner = np.frombuffer(b"".join(map(self.part, parts)), "<i4").tolist()
-        return (*self.ids(head), *inner, *self.ids(tail))
+        head, tail = (np.array(self.ids(x), "<i4").tobytes() for x in (head, tail))
+        return head + self._joined(parts) + tail
 
     def _back(self, s: str, entries: list[tuple[str, int]], left: int, right: int, end: int, last: str) -> list[str]:
         alive = self.walk(s, entries, left, right)
@@ -455,16 +508,17 @@ def encode(docs: DataFrame, path: str = MODEL, chunk: int = 1 << 15) -> DataFram
     rows = docs.select("doc_id", "text")
     long = F.length("text") >= chunk
 
-    def finish(ids: pa.Array, found: list[bytes | None], texts: list[str | None], m: Lattice) -> pa.RecordBatch:
+    def lists(found: list[bytes | None]) -> pa.ListArray:
+        ends = np.cumsum([0, *(len(x) // 4 if x else 0 for x in found)])
         values = np.frombuffer(b"".join(x for x in found if x), "<i4")
-        sizes = np.array([len(x) // 4 if x else 0 for x in found], np.int64)
-        ends = np.cumsum(sizes)
-        null = np.array([x is None for x in found], bool)
-        flat, same = values.tolist(), []
-        for end, size, text in zip(ends.tolist(), sizes.tolist(), texts):
-            same.append(None if text is None else m.decode(flat[end - size : end]) == text)
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(values), mask=pa.array(null))
-        return pa.RecordBatch.from_arrays([ids, lists, pa.array(sizes.astype(np.int32), mask=null), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_tokens", "round_trip"])
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values), mask=pa.array([x is None for x in found], pa.bool_()))
+
+    def finish(ids: pa.Array, found: list[bytes | None], texts: list[str | None], m: Lattice) -> pa.RecordBatch:
+        made = lists(found)
+        flat, ends, same = made.values.to_numpy().tolist(), made.offsets.to_pylist(), []
+        for start, end, text in zip(ends, ends[1:], texts):
+            same.append(None if text is None else m.decode(flat[start:end]) == text)
+        return pa.RecordBatch.from_arrays([ids, made, made.value_lengths(), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_tokens", "round_trip"])
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _lattice(sent)
@@ -504,8 +558,8 @@ def encode(docs: DataFrame, path: str = MODEL, chunk: int = 1 << 15) -> DataFram
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _lattice(sent)
         for batch in batches:
-            ids = [list(m.backtrace(*row)) for row in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5, 6, 7)))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.list_(pa.int32()))], ["k", "l", "c", "ids"])
+            ids = [m.backtrace(*row) for row in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5, 6, 7)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists(ids)], ["k", "l", "c", "ids"])
 
     traced = pieces.join(cuts, ["k", "l", "c"]).select("k", "l", "c", "s", "a", "b", "x", "y").mapInArrow(trace, "k bigint, l bigint, c bigint, ids array<int>")
     whole = traced.groupBy("k", "l").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("c", "ids"))), lambda x: x["ids"])).alias("ids"))
@@ -513,7 +567,7 @@ def encode(docs: DataFrame, path: str = MODEL, chunk: int = 1 << 15) -> DataFram
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _lattice(sent)
         for batch in batches:
-            ids = [np.array(x, "<i4").tobytes() for x in batch.column(2).to_pylist()]
+            ids = [x.values.to_numpy().astype("<i4").tobytes() for x in batch.column(2)]
             yield finish(batch.column(0), ids, batch.column(1).to_pylist(), m)
 
     giant = keyed.join(whole, ["k", "l"]).select("doc_id", "text", "ids").mapInArrow(check, schema)

@@ -109,6 +109,42 @@ def test_short_parts_are_merged_at_once(monkeypatch):
         assert tuple(np.frombuffer(ids, "<i4").tolist()) == m.ids(x for p in parts for x in m.merge(p))
 
 
+def test_new_parts_take_a_fraction_of_one_by_one():
+    m = sentencepieces.Lattice(*sentencepieces.read_pieces(sentencepieces.MODEL))
+    rng = np.random.default_rng(17)
+    ends = ["an", "en", "er", "tion", "ch", "heit", "ou", "que", "re", "th", "ing", "bl", "\u00e9", "sch", "\u00f1", "eau"]
+    words = sorted({sentencepieces.SPACE + "".join(rng.choice(ends, rng.integers(2, 6))) for _ in range(30000)}, key=len)
+
+    def seconds(run):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            got = run()
+            took.append(time.process_time() - began)
+        return min(took), got
+
+    one, want = seconds(lambda: [np.array(m.ids(m.merge(w)), "<i4").tobytes() for w in words[::8]])
+    every, got = seconds(lambda: [x for at in range(0, len(words), 4096) for x in m.merge_all(words[at : at + 4096])])
+    assert got[::8] == want and every < 2 * one
+
+
+def test_chunks_are_searched_at_their_ends_alone():
+    m = sentencepieces.Lattice(*sentencepieces.read_pieces(sentencepieces.MODEL))
+    text = " ".join(f"w\u00f6rd{i} of the text\n" for i in range(3000))
+    want, reads = m.encode([text])[0], []
+
+    class Letters(set):
+        def __contains__(self, c):
+            reads.append(c)
+            return super().__contains__(c)
+
+    m.letters = Letters(m.letters)
+    rows = list(sentencepieces.cut(sentencepieces.SPACE + text.replace(" ", sentencepieces.SPACE), 1 << 14, m.longest))
+    states = sentencepieces.cut_states([m.matrix(*r[2:]) for r in rows])
+    assert len(reads) < 200 * len(rows)
+    assert b"".join(bytes(m.backtrace(*r[2:], *at)) for r, at in zip(rows, states)) == want
+
+
 def test_large_buckets_of_fingerprints_equal_all_pairs():
     rng = np.random.default_rng(3)
     centres = rng.integers(0, 2**63, (6, 4)).astype(np.uint64)
