@@ -13,7 +13,7 @@ from sigspark.functions import sizing
 from sigspark.functions.hashing import term_row
 from sigspark.functions.terms import base_name, canonical_windows, packed, windows
 from sigspark.model import ClassicParams, CompactParams
-from sigspark.operators import build, listing, search, workload
+from sigspark.operators import build, counting, listing, search, workload
 from sigspark.plans import index
 from sigspark.plans.storage import new_path
 from sigspark.sources import files
@@ -60,6 +60,10 @@ def _ids(spark: SparkSession, sf: str) -> DataFrame:
     return _corpus(spark, sf).select(F.col("name").cast("bigint").alias("doc_id"), "name", "seq")
 
 
+def _unspread(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("seq"))
+
+
 def _results(found: DataFrame) -> DataFrame:
     return found.select("query_id", "index_no", F.col("doc_name"), "score", "rank")
 
@@ -144,14 +148,12 @@ def qgram_dump(spark: SparkSession, sf: str) -> DataFrame:
 
 @registered(f"WITH {_TERMS} SELECT doc_id, count(*) AS terms, count(DISTINCT term) AS distinct_terms FROM t GROUP BY doc_id")
 def qgram_distinct_counts(spark: SparkSession, sf: str) -> DataFrame:
-    found = windows(_ids(spark, sf).select("doc_id", "seq"), K)
-    return found.groupBy("doc_id").agg(F.count("*").alias("terms"), F.count_distinct("term").alias("distinct_terms"))
+    return counting.distinct_counts(_unspread(spark, sf), "doc_id", K)
 
 
 @registered(f"WITH {_TERMS}, f AS (SELECT term, count(DISTINCT doc_id) AS docs FROM t GROUP BY term) SELECT docs, count(*) AS terms FROM f GROUP BY docs")
 def qgram_doc_freq(spark: SparkSession, sf: str) -> DataFrame:
-    found = windows(_ids(spark, sf).select("doc_id", "seq"), K).select("doc_id", "term").distinct()
-    return found.groupBy("term").agg(F.count("*").alias("docs")).groupBy("docs").agg(F.count("*").alias("terms"))
+    return counting.document_frequencies(_unspread(spark, sf), "doc_id", K)
 
 
 _FROM = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ ,."
@@ -170,8 +172,8 @@ c AS (SELECT doc_id, substr(r, 1, {K // 2}) < substr(f, 1, {K // 2}) AS flipped,
 
 @registered(f"WITH {_DNA} SELECT doc_id, count(*) AS terms, count(*) FILTER (flipped) AS flipped, count(*) FILTER (NOT contains(term, '!')) AS valid, count(DISTINCT term) AS distinct_terms FROM c GROUP BY doc_id")
 def canonical_kmers(spark: SparkSession, sf: str) -> DataFrame:
-    seqs = _spread(_table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", _dna(F.col("text")).cast("binary").alias("seq"))
-    return canonical_windows(seqs, K).groupBy("doc_id").agg(F.count("*").alias("terms"), F.count_if("flipped").alias("flipped"), F.count_if("valid").alias("valid"), F.count_distinct("term").alias("distinct_terms"))
+    seqs = _table(spark, sf, "documents").select("doc_id", _dna(F.col("text")).cast("binary").alias("seq"))
+    return counting.distinct_counts(seqs, "doc_id", K, canonicalize=True).select("doc_id", "terms", "flipped", "valid", "distinct_terms")
 
 
 @registered("SELECT octet_length(encode(text)) AS length, count(*) AS n FROM conversations WHERE text IS NOT NULL GROUP BY 1")
