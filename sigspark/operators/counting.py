@@ -115,6 +115,8 @@ def stretches(buf: np.ndarray, k: int, wanted: np.ndarray, buckets: int) -> tupl
     """(bucket, place, length) of stretches that together have the wanted windows, each once; wanted: a mark for the window at each byte."""
     least = least_pieces(buf, k)
     n = len(least)
+    if not n:  # all sequences are shorter than a window
+        return (np.empty(0, np.int64),) * 3
     new = np.empty(n, bool)
     new[:1] = True
     np.not_equal(least[1:], least[:-1], out=new[1:])
