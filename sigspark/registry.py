@@ -444,7 +444,7 @@ def random_index(spark: SparkSession, sf: str) -> DataFrame:
 
 def _made(spark: SparkSession, sf: str, kind: str, content: Column, where: str = "true") -> DataFrame:
     key = F.col("p_partkey").cast("string")
-    made = _table(spark, sf, "part").where(where).select(key.alias("path"), F.lit(kind).alias("file_type"), key.alias("name"), F.octet_length(content).cast("bigint").alias("size"), content.cast("binary").alias("content"))
+    made = _spread(_table(spark, sf, "part")).where(where).select(key.alias("path"), F.lit(kind).alias("file_type"), key.alias("name"), F.octet_length(content).cast("bigint").alias("size"), content.cast("binary").alias("content"))
     return files.decoded(made).select("name", "subdoc_index", F.col("seq").cast("string").alias("seq"))
 
 

@@ -249,17 +249,28 @@ def decoded(files: DataFrame, skip_broken: bool = False) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["path", "file_type", "name", "subdoc_index", "size", "seq"]
         types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary()]
+        def made(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names)
+
         for batch in batches:
-            for row in batch.to_pylist():
+            held, size = [], 0  # of many small files, results go on together
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("path", "file_type", "name", "size")]
+            content = batch.column(batch.schema.get_field_index("content"))
+            for i, (path, kind, name, length) in enumerate(zip(*(c.to_pylist() for c in columns))):
                 try:
-                    found = list(_decode(row["file_type"], row["name"], row["size"], row["content"]))
+                    found = [(path, kind, *f) for f in _decode(kind, name, length, content[i].as_py())]
                 except (FormatError, struct.error, ValueError, OSError, EOFError, zlib.error) as error:
                     if not skip_broken:
                         raise
-                    logging.getLogger("sigspark").warning("%s is left out: %s", row["path"], error)
+                    logging.getLogger("sigspark").warning("%s is left out: %s", path, error)
                     continue
-                columns = zip(*((row["path"], row["file_type"], *f) for f in found))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)] or [pa.array([], t) for t in types], names)
+                held += found
+                size += sum(len(f[-1] or b"") + 64 for f in found)
+                if size > 1 << 22:
+                    yield made(held)
+                    held, size = [], 0
+            if held:
+                yield made(held)
 
     rest = files.where("file_type <> 'text'").select("path", "file_type", "name", "size", "content").mapInArrow(decode, SCHEMA)
     return text.unionByName(rest)
